@@ -1,6 +1,7 @@
 """Toxicity by a counterfactually regularised classifier.
 
-Logistic regression over the words of a text and the beginnings of its words. Identity
+Logistic regression over the words of a text and the beginnings of its words, with weights
+that are never negative: a long clean text doesn't outweigh an insult in it. Identity
 terms are swapped in labelled sentences, and a change of the score is penalised, so that a
 neutral mention of a group moves no score. The model is a bounded dictionary of weights;
 it is fitted on the driver to a bounded sample of labelled rows and scored where the texts are.
@@ -23,7 +24,9 @@ SAMPLE_ROWS, MOST_FEATURES, LEAST_TEXTS = 6000, 4000, 4
 #: Distinct features of a text that reach the driver from the sample; it is the fit alone that is bounded so.
 THRESHOLD = 0.3
 #: Standard errors by which a feature's share among toxic texts must differ, penalties, and steps.
-LEAST_Z, RIDGE, COUNTERFACTUAL, STEPS, RATE = 3.5, 1e-4, 0.5, 400, 0.3
+LEAST_Z, RIDGE, COUNTERFACTUAL, STEPS, RATE = 5.0, 2e-5, 0.5, 400, 0.2
+#: Letters of a beginning; it counts for longer words only.
+BEGINNINGS = (4, 5, 6, 7)
 
 # Identity terms, in four languages, by group that they may be swapped in.
 IDENTITY = [
@@ -41,9 +44,24 @@ _swap = {w: group for group in IDENTITY for w in group}
 
 
 def features(text: str | None) -> set[str]:
-    """The distinct words of a text, and beginnings of four and five letters of longer words (marked 4: and 5:)."""
+    """The distinct words of a text, and the beginnings of longer words, marked by their length (4:abcd; 4+abcd if two words share it)."""
     words = set(_word.findall(text.lower())) if text else set()
-    return words | {f"4:{w[:4]}" for w in words if len(w) > 4} | {f"5:{w[:5]}" for w in words if len(w) > 5}
+    out = set(words)
+    for n in BEGINNINGS:
+        once, twice = _begun(words, n)
+        out |= {f"{n}:{x}" for x in once} | {f"{n}+{x}" for x in twice}
+    return out
+
+
+def _begun(words: set[str], n: int) -> tuple[set[str], set[str]]:
+    """Beginnings of n letters that one word has at least, and that two have."""
+    once: set[str] = set()
+    twice: set[str] = set()
+    for w in words:
+        if len(w) > n:
+            x = w[:n]
+            (twice if x in once else once).add(x)
+    return once, twice
 
 
 def counterfactual(text: str, shift: int = 1) -> str | None:
@@ -87,7 +105,7 @@ def fit(own: list, swapped: list, labels: list[int]) -> dict:
     have1 = Counter(x for s, t in zip(own, labels) if t for x in s)
     p = n1 / n
     z = {x: (have1[x] - c * p) / np.sqrt(c * p * (1 - p)) for x, c in have.items() if c >= LEAST_TEXTS}
-    chosen = sorted((x for x in z if abs(z[x]) >= LEAST_Z), key=lambda x: (-abs(z[x]), x))[:MOST_FEATURES]
+    chosen = sorted((x for x in z if z[x] >= LEAST_Z), key=lambda x: (-z[x], x))[:MOST_FEATURES]
     terms = sorted({x for w in _swap for x in features(w)})
     index = {x: k for k, x in enumerate(dict.fromkeys([*chosen, *terms]))}
     # Neutral sentences on every group: labelled 0, and each a counterfactual of the next.
@@ -109,7 +127,7 @@ def fit(own: list, swapped: list, labels: list[int]) -> dict:
         mw, vw = 0.9 * mw + 0.1 * g, 0.999 * vw + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         k, q = 1 - 0.9**t, 1 - 0.999**t
-        w -= RATE * (mw / k) / (np.sqrt(vw / q) + 1e-8)
+        w = np.maximum(0, w - RATE * (mw / k) / (np.sqrt(vw / q) + 1e-8))
         b -= RATE * (mb / k) / (np.sqrt(vb / q) + 1e-8)
     out = {x: float(w[k]) for x, k in index.items() if abs(w[k]) > 1e-4}
     out[""] = b
@@ -143,8 +161,8 @@ def score(text: str | None, model: dict) -> float:
 def scored(df: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row per row of df: doc_id, held_out (null ids: false), score, predicted. Only the text decides the score."""
     known = {x: w for x, w in model.items() if x}
-    words = {x for x in known if not x.startswith(("4:", "5:"))}
-    four, five = {x[2:] for x in known if x.startswith("4:")}, {x[2:] for x in known if x.startswith("5:")}
+    words = {x for x in known if x[0].isalpha()}
+    begun = [(n, *({x[2:]: w for x, w in known.items() if x.startswith(f"{n}{mark}")} for mark in ":+")) for n in BEGINNINGS]
     base = model[""]
 
     def one(text: str | None) -> float:
@@ -152,8 +170,11 @@ def scored(df: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text
             return base
         found = set(_word.findall(text.lower()))
         s = base + sum(sorted(known[w] for w in found & words))
-        s += sum(sorted(known[f"4:{x}"] for x in {w[:4] for w in found if len(w) > 4} & four))
-        return s + sum(sorted(known[f"5:{x}"] for x in {w[:5] for w in found if len(w) > 5} & five))
+        for n, weights, again in begun:
+            if weights or again:
+                once, twice = _begun(found, n)
+                s += sum(sorted(weights[x] for x in once & weights.keys())) + sum(sorted(again[x] for x in twice & again.keys()))
+        return s
 
     @F.pandas_udf(T.DoubleType())
     def sigmoid(texts: pd.Series) -> pd.Series:
