@@ -20,7 +20,10 @@ _escapes = {ord("n"): b"\n", ord("r"): b"\r", ord("t"): b"\t", ord("b"): b"\b",
 
 
 class End:
-    """Past the last token."""
+    """Past the last token; one object, in workers too."""
+
+    def __reduce__(self):
+        return "END"
 
 
 END = End()
