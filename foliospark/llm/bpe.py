@@ -30,7 +30,7 @@ NONE = np.int32(2**31 - 1)
 #: Symbols of a row above which a round merges more than one pair.
 LONG = 64
 #: Most cells of a matrix, and most bytes of pieces that a worker remembers.
-CELLS, REMEMBERED = 1 << 20, 32 << 20
+CELLS, REMEMBERED = 1 << 18, 16 << 20
 
 
 class Ranks:
@@ -216,20 +216,25 @@ def _little_endian(ids: array) -> bytes:
     return np.frombuffer(ids, np.uintc).astype("<u4").tobytes() if len(ids) else b""
 
 
-def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """df (or its columns `keep`) with the token ids of each text, array<int>. Null and empty texts have none."""
+def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None, check: str | None = None) -> DataFrame:
+    """df (or its columns `keep`) with the token ids of each text, array<int>. Null and empty texts have none.
+
+    check: name of one more column, whether the ids decode to the text's bytes again, told in the same pass.
+    """
     keep = list(df.columns) if keep is None else keep
     [work] = free_name(df, "work")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for b in _small(batches):
-            ids = e.encode(b.column(b.num_columns - 1).to_pylist())
+            texts = b.column(b.num_columns - 1).to_pylist()
+            ids = e.encode(texts)
+            more = [pa.array([e.decode(x) == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(ids, texts)])] if check else []
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64))).astype(np.int32))
             flat = pa.array(np.concatenate([np.frombuffer(x, np.uintc).astype(np.int32) for x in ids if len(x)] or [np.zeros(0, np.int32)]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, flat)], [*keep, out])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, flat), *more], schema.names)
 
-    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(out, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(check, T.BooleanType())] if check else [])])
     return df.select(*keep, F.col(text).alias(work)).mapInArrow(run, schema)
 
 
@@ -244,7 +249,7 @@ def decoded(df: DataFrame, path: str, ids: str = "ids", out: str = "text_bytes")
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
-def _small(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut to a few MB, so that a worker holds few texts at once."""
     for b in batches:
         step = max(1, int(b.num_rows * most / max(b.nbytes, 1)))
