@@ -11,6 +11,13 @@ Only distinct fingerprints are compared: exact copies collapse in a map-side agg
 A key shared by more than BLOCK fingerprints is dealt out as pairs of blocks, so no task
 holds an unbounded group, and a task emits a spanning forest of the links that it
 found, never all pairs.
+
+Two ways to use it: near_duplicates() links 64-bit fingerprints of shingles at a few differing
+bits. near_copies() finds texts whose sets of shingles are similar (0.8, five words): at that
+similarity fingerprints of shingles differ in a sixth of their bits, too many to probe for, while
+those of single words differ in few. So 256-bit fingerprints of the sets of words are probed,
+each of their four words by the pigeonhole principle, and 256-bit fingerprints of the sets of
+shingles verify.
 """
 
 from __future__ import annotations
@@ -37,24 +44,28 @@ BLOCK, MOST_BLOCKS = 4096, 64
 BROADCAST_KEYS = 20_000
 #: Cost of one emitted key against one verified pair.
 KEY_COST = 40.0
+#: 64-bit words of the fingerprints of near_copies(), and differing bits of one word that are probed for.
+WIDTH, PROBED = 4, 3
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """Majority of the bits of XXH64 (seed 42) over the word shingles of a whole text; no words: 0."""
-    if not text:
-        return 0
-    tokens = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+def shingle_hashes(text: str | None, words: int = 4) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles of a whole text, in order; of the whole sequence where it is shorter."""
+    tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: A-Z and ASCII white space only
     n = len(tokens)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, n)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(joined[a:b], SEED) for a, b in zip(starts[: n - k + 1].tolist(), ends[k - 1 :].tolist())), np.uint64, n - k + 1
     )
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes; none: 0."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)]
@@ -62,6 +73,29 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """Majority of the bits of XXH64 (seed 42) over the word shingles of a whole text; no words: 0."""
+    return majority(shingle_hashes(text, words))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """WIDTH words of 64 bits over the set of hashes, each from another mixing of them; no hashes: zeros."""
+    distinct = np.unique(hashes)
+    out = []
+    for k in range(WIDTH):
+        x = distinct + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        out.append(majority(x ^ (x >> np.uint64(31))))
+    return out
+
+
+def differing_bits(similarity: float) -> int:
+    """Bits in which wide fingerprints of sets of that Jaccard similarity differ, and one standard deviation more."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.floor(64 * WIDTH * p + math.sqrt(64 * WIDTH * p * (1 - p)))
+
+
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", words: int = 4) -> DataFrame:
     """Adds the signed 64-bit fingerprint. Null and empty texts give 0."""
 
@@ -182,6 +216,12 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits, row by row; a row is one word or several."""
+    bits = np.bitwise_count(x ^ y)
+    return bits if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int32)
+
+
 def _search(fps: np.ndarray, tau: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """A spanning forest of the links within one large group, breadth first: what is reached is never compared with itself."""
     left = np.arange(len(fps))
@@ -190,7 +230,7 @@ def _search(fps: np.ndarray, tau: int) -> tuple[list[np.ndarray], list[np.ndarra
         frontier, left = [int(left[0])], left[1:]
         while frontier and len(left):
             at = frontier.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]) <= tau
+            near = _apart(fps[left], fps[at]) <= tau
             if near.any():
                 found = left[near]
                 parents.append(np.full(len(found), at))
@@ -201,7 +241,7 @@ def _search(fps: np.ndarray, tau: int) -> tuple[list[np.ndarray], list[np.ndarra
 
 
 def verify_sorted(cells: np.ndarray, fps: np.ndarray, ids: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest links (id, id) within runs of equal cells. cells: run numbers in order."""
+    """Forest links (id, id) within runs of equal cells. cells: run numbers in order; fps: a word each, or rows of words."""
     n = len(cells)
     if n < 2:
         return ids[:0], ids[:0]
@@ -225,7 +265,7 @@ def verify_sorted(cells: np.ndarray, fps: np.ndarray, ids: np.ndarray, tau: int)
             active, room = active[keep], room[keep]
             if not len(active):
                 break
-            near = np.bitwise_count(fps[active] ^ fps[active + d]) <= tau
+            near = _apart(fps[active], fps[active + d]) <= tau
             a_all.append(active[near])
             b_all.append(active[near] + d)
             d += 1
@@ -247,7 +287,8 @@ def _verify(tau: int):
             change = np.zeros(len(columns[0]), bool)
             for c in columns[:3]:
                 change[1:] |= c[1:] != c[:-1]
-            u, v = verify_sorted(np.cumsum(change), columns[3].view(np.uint64), columns[4], tau)
+            fps = columns[3].view(np.uint64) if len(columns) == 5 else np.stack(columns[3:-1], axis=1).view(np.uint64)
+            u, v = verify_sorted(np.cumsum(change), fps, columns[-1], tau)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for batch in batches:
@@ -270,26 +311,29 @@ def _verify(tau: int):
     return run
 
 
-def near_links(nodes: DataFrame, tau: int = 4) -> DataFrame:
-    """(u, v): a spanning forest, task by task, of the links among distinct fingerprints; nodes: fp, rep (neither null)."""
+def near_links(nodes: DataFrame, tau: int = 4, probed: tuple[str, ...] = ("fp",), verified: tuple[str, ...] = ("fp",), most: int | None = None) -> DataFrame:
+    """(u, v): a spanning forest, task by task, of the links among distinct fingerprints; nodes: fp, rep (none null).
+
+    Rows meet that differ in at most tau bits of one of the columns probed; they link at no more than `most` (tau) differing bits in all columns verified.
+    """
     n = nodes.count()
-    masks = plan_masks(nodes, n, tau)
-    keys = F.array(*[F.struct(F.lit(k).cast("smallint").alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(x))).alias("key")) for k, x in enumerate(masks)])
-    probes = nodes.select("fp", "rep", F.explode(keys).alias("x")).select("x.mask", "x.key", "fp", "rep")
+    masks = [(c, x) for c in probed for x in plan_masks(nodes.select(F.col(c).alias("fp")), n, tau)]
+    keys = F.array(*[F.struct(F.lit(k).cast("smallint").alias("mask"), F.col(c).bitwiseAND(F.lit(signed(x))).alias("key")) for k, (c, x) in enumerate(masks)])
+    probes = nodes.select(*verified, "rep", F.explode(keys).alias("x")).select("x.mask", "x.key", *verified, "rep")
     hot = written(probes.groupBy("mask", "key").count().where(F.col("count") > BLOCK).select("mask", "key", F.least(F.ceil(F.col("count") / BLOCK), F.lit(MOST_BLOCKS)).cast("int").alias("blocks")), "hotkeys")
     n_hot = hot.count()
     if n_hot:
         probes = (
             probes.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, ["mask", "key"], "left")
             .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-            .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+            .withColumn("own", F.pmod(F.xxhash64(*verified), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
             .withColumn("cell", F.least("own", "other") * MOST_BLOCKS + F.greatest("own", "other"))
         )
     else:
         probes = probes.withColumn("cell", F.lit(0))
-    dealt = probes.select("mask", "key", "cell", "fp", "rep").repartition("mask", "key", "cell").sortWithinPartitions("mask", "key", "cell")
-    return dealt.mapInArrow(_verify(tau), "u bigint, v bigint")
+    dealt = probes.select("mask", "key", "cell", *verified, "rep").repartition("mask", "key", "cell").sortWithinPartitions("mask", "key", "cell")
+    return dealt.mapInArrow(_verify(tau if most is None else most), "u bigint, v bigint")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = 4, words: int = 4) -> DataFrame:
@@ -316,13 +360,47 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     return fps.join(named.hint("merge"), "fp").select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = 4, words: int = 4) -> DataFrame:
+def with_wide_fingerprints(df: DataFrame, text: str, words: int, probe: list[str], sketch: list[str]) -> DataFrame:
+    """Adds the wide fingerprints of the set of words and of the set of shingles of a text, a column to a word."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def both(texts: pd.Series) -> pd.Series:
+        return pd.Series([list(map(signed, wide_fingerprint(shingle_hashes(t, 1)) + wide_fingerprint(shingle_hashes(t, words)))) for t in texts])
+
+    [work] = free_name(df, "work")
+    out = df.withColumn(work, both(F.col(text)))
+    return out.select(*df.columns, *(F.get(work, F.lit(k)).alias(c) for k, c in enumerate([*probe, *sketch])))
+
+
+def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of df: doc_id, component_id, the smallest doc_id reachable over links between similar texts.
+
+    Texts link if their wide fingerprints differ in at most differing_bits(similarity): the share
+    of common shingles is estimated, with a standard deviation of 0.03 to 0.04. Null and empty texts are
+    equal. Rows whose doc_id is null link too, but can't name a component: it is null if no
+    other row is in it. Repeated rows give a row each; no rows give no rows. Other columns are ignored.
+    """
+    probe, sketch = [f"p{k}" for k in range(WIDTH)], [f"s{k}" for k in range(WIDTH)]
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    marked = written(with_wide_fingerprints(rows, "text", words, probe, sketch).drop("text"), "fingerprints")
+    top = int(marked.agg(F.max("doc_id")).first()[0] or 0)
+    grouped = marked.groupBy(*sketch).agg(F.min("doc_id").cast("bigint").alias("rep"), F.min(F.struct(*probe)).alias("p"))
+    nameless = F.lit(top + 1) + F.shiftrightunsigned(F.xxhash64(*sketch), 2)
+    nodes = written(grouped.select(*sketch, "p.*", F.coalesce("rep", nameless).alias("rep")), "nodes")
+    links = near_links(nodes, PROBED, tuple(probe), tuple(sketch), differing_bits(similarity))
+    parts = connected_components(written(links, "near"))
+    part = F.coalesce(F.col("component"), F.col("rep"))
+    named = nodes.join(parts.hint("merge"), F.col("rep") == F.col("node"), "left").select(*sketch, F.when(part <= top, part).alias("component_id"))
+    return marked.join(named.hint("merge"), sketch).select("doc_id", "component_id")
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """df without near copies: of each group the row of its smallest doc_id, with all columns of df.
 
     Of repeated rows with that id one stays, by the order of a hash of their text. Rows without an id are kept if their whole group has none.
     """
     key, mark, keep = free_name(df, "key", "mark", "keep")
-    groups = near_duplicates(df, doc_id, text, tau, words)
+    groups = near_copies(df, doc_id, text, words, similarity)
     chosen = groups.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     kept = df.join(chosen.hint("merge"), F.col(doc_id).eqNullSafe(F.col(key)), "left_semi")
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()

@@ -131,6 +131,34 @@ def test_simhash_edges(spark):
     assert {r.component_id for r in simhash.near_duplicates(nameless).collect()} == {None}
 
 
+def test_near_copies_against_brute_force(spark, monkeypatch):
+    """Texts with words replaced at random, and others; links as by comparing all wide fingerprints, and as by Jaccard similarity where that is clear."""
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    rng = random.Random(8)
+    texts = []
+    for k in range(40):
+        base = words(rng.choice([60, 200, 900]), 100 + k).split()
+        texts.append(" ".join(base))
+        for share in (0.004, 0.01, 0.3):
+            texts.append(" ".join(rng.choice("alpha beta gamma delta".split()) if rng.random() < share else w for w in base))
+    hot = words(150, 77).split()
+    texts += [" ".join([*hot[:k], "changed", *hot[k + 1 :]]) for k in range(150)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, texts)).collect()}
+    wide = np.array([simhash.wide_fingerprint(simhash.shingle_hashes(t, 5)) for t in texts], np.uint64)
+    most = simhash.differing_bits(0.8)
+    links = [(i, int(j)) for i in range(len(texts)) for j in np.flatnonzero(np.bitwise_count(wide[i] ^ wide[:i]).sum(1) <= most)]
+    assert [got[k] for k in range(len(texts))] == [min(x for x, c in enumerate(labels) if c == labels[k]) for labels in [components(len(texts), links)] for k in range(len(texts))]
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    for i, j in ((i, j) for i in range(160) for j in range(i)):
+        common = len(shingles[i] & shingles[j])
+        jaccard = common / (len(shingles[i]) + len(shingles[j]) - common)
+        if jaccard >= 0.9:
+            assert got[i] == got[j]
+        if i // 4 != j // 4:
+            assert got[i] != got[j]
+    assert {got[k] for k in range(160, 310)} == {160}
+
+
 # ---- 2 ----
 
 

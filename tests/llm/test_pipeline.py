@@ -22,7 +22,7 @@ def test_stages(spark, sf):
     kept = {r.doc_id for r in quality.quality_report(first).where("kept").collect()}
     assert {r.doc_id for r in rows["quality_rules"]} == kept
     survivors = spark.createDataFrame(rows["quality_rules"], first.schema)
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(survivors, words=5).collect()}
+    groups = {r.doc_id: r.component_id for r in simhash.near_copies(survivors).collect()}
     assert sorted(r.doc_id for r in rows["simhash_dedup"]) == sorted(set(groups.values()))
     assert {r.doc_id for r in rows["secret_scan"]} == {r.doc_id for r in rows["simhash_dedup"]} == {r.doc_id for r in rows["bpe_encode"]}
     assert secrets.secret_report(spark.createDataFrame(rows["secret_scan"], first.schema)).where("n_assign + n_access + n_hex > 0").count() == 0
