@@ -16,7 +16,7 @@ Two ways to use it: near_duplicates() links 64-bit fingerprints of shingles at a
 bits. near_copies() finds texts whose sets of shingles are similar (0.8, five words): at that
 similarity fingerprints of shingles differ in a sixth of their bits, too many to probe for, while
 those of single words differ in few. So 256-bit fingerprints of the sets of words are probed,
-each of their four words by the pigeonhole principle, and 256-bit fingerprints of the sets of
+each of their four words by the pigeonhole principle, and 1024-bit fingerprints of the sets of
 shingles verify.
 """
 
@@ -44,8 +44,8 @@ BLOCK, MOST_BLOCKS = 4096, 64
 BROADCAST_KEYS = 20_000
 #: Cost of one emitted key against one verified pair.
 KEY_COST = 40.0
-#: 64-bit words of the fingerprints of near_copies(), and differing bits of one word that are probed for.
-WIDTH, PROBED = 4, 3
+#: 64-bit words of the fingerprints that near_copies() probes and verifies, and differing bits of one word that are probed for.
+PROBE_WIDTH, SKETCH_WIDTH, PROBED = 4, 16, 3
 
 
 def shingle_hashes(text: str | None, words: int = 4) -> np.ndarray:
@@ -78,22 +78,24 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return majority(shingle_hashes(text, words))
 
 
-def wide_fingerprint(hashes: np.ndarray) -> list[int]:
-    """WIDTH words of 64 bits over the set of hashes, each from another mixing of them; no hashes: zeros."""
+def wide_fingerprint(hashes: np.ndarray, width: int) -> np.ndarray:
+    """width signed words of 64 bits over the set of hashes, each from another mixing of them; no hashes: zeros."""
     distinct = np.unique(hashes)
-    out = []
-    for k in range(WIDTH):
-        x = distinct + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    salts = np.array([(k + 1) * 0x9E3779B97F4A7C15 % 2**64 for k in range(width)], np.uint64)
+    counts = np.zeros(64 * width, np.int64)
+    for at in range(0, len(distinct), 255):  # so few rows that a byte holds a sum
+        x = distinct[at : at + 255, None] + salts
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        out.append(majority(x ^ (x >> np.uint64(31))))
-    return out
+        x ^= x >> np.uint64(31)
+        counts += np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(distinct), bitorder="little").view("<i8")
 
 
-def differing_bits(similarity: float) -> int:
+def differing_bits(similarity: float, width: int = SKETCH_WIDTH) -> int:
     """Bits in which wide fingerprints of sets of that Jaccard similarity differ, and one standard deviation more."""
     p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return math.floor(64 * WIDTH * p + math.sqrt(64 * WIDTH * p * (1 - p)))
+    return math.floor(64 * width * p + math.sqrt(64 * width * p * (1 - p)))
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", words: int = 4) -> DataFrame:
@@ -365,7 +367,7 @@ def with_wide_fingerprints(df: DataFrame, text: str, words: int, probe: list[str
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def both(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(map(signed, wide_fingerprint(shingle_hashes(t, 1)) + wide_fingerprint(shingle_hashes(t, words)))) for t in texts])
+        return pd.Series([np.concatenate((wide_fingerprint(shingle_hashes(t, 1), len(probe)), wide_fingerprint(shingle_hashes(t, words), len(sketch)))) for t in texts], dtype=object)
 
     [work] = free_name(df, "work")
     out = df.withColumn(work, both(F.col(text)))
@@ -376,11 +378,11 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     """One row per row of df: doc_id, component_id, the smallest doc_id reachable over links between similar texts.
 
     Texts link if their wide fingerprints differ in at most differing_bits(similarity): the share
-    of common shingles is estimated, with a standard deviation of 0.03 to 0.04. Null and empty texts are
+    of common shingles is estimated, with a standard deviation of 0.02. Null and empty texts are
     equal. Rows whose doc_id is null link too, but can't name a component: it is null if no
     other row is in it. Repeated rows give a row each; no rows give no rows. Other columns are ignored.
     """
-    probe, sketch = [f"p{k}" for k in range(WIDTH)], [f"s{k}" for k in range(WIDTH)]
+    probe, sketch = [f"p{k}" for k in range(PROBE_WIDTH)], [f"s{k}" for k in range(SKETCH_WIDTH)]
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marked = written(with_wide_fingerprints(rows, "text", words, probe, sketch).drop("text"), "fingerprints")
     top = int(marked.agg(F.max("doc_id")).first()[0] or 0)

@@ -144,7 +144,7 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
     hot = words(150, 77).split()
     texts += [" ".join([*hot[:k], "changed", *hot[k + 1 :]]) for k in range(150)]
     got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, texts)).collect()}
-    wide = np.array([simhash.wide_fingerprint(simhash.shingle_hashes(t, 5)) for t in texts], np.uint64)
+    wide = np.array([simhash.wide_fingerprint(simhash.shingle_hashes(t, 5), simhash.SKETCH_WIDTH) for t in texts]).view(np.uint64)
     most = simhash.differing_bits(0.8)
     links = [(i, int(j)) for i in range(len(texts)) for j in np.flatnonzero(np.bitwise_count(wide[i] ^ wide[:i]).sum(1) <= most)]
     assert [got[k] for k in range(len(texts))] == [min(x for x, c in enumerate(labels) if c == labels[k]) for labels in [components(len(texts), links)] for k in range(len(texts))]
@@ -159,6 +159,18 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
     assert {got[k] for k in range(160, 310)} == {160}
 
 
+def test_wide_fingerprint_is_a_majority():
+    """Whatever the number of hashes, and however often one is repeated."""
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 254, 255, 256, 1000):
+        hashes = rng.integers(0, 2**63, n).astype(np.uint64)
+        bits = np.zeros(128, int)
+        for x in hashes.tolist():
+            bits += np.unpackbits(simhash.wide_fingerprint(np.array([x], np.uint64), 2).view(np.uint8), bitorder="little")
+        got = simhash.wide_fingerprint(np.concatenate([hashes, hashes[: n // 3]]), 2)
+        assert (np.unpackbits(got.view(np.uint8), bitorder="little") == (bits * 2 > n)).all()
+
+
 # ---- 2 ----
 
 
