@@ -14,10 +14,9 @@ found, never all pairs.
 
 Two ways to use it: near_duplicates() links 64-bit fingerprints of shingles at a few differing
 bits. near_copies() finds texts whose sets of shingles are similar (0.8, five words): at that
-similarity fingerprints of shingles differ in a sixth of their bits, too many to probe for, while
-those of single words differ in few. So 256-bit fingerprints of the sets of words are probed,
-each of their four words by the pigeonhole principle, and 1024-bit fingerprints of the sets of
-shingles verify.
+similarity fingerprints of shingles differ in a sixth of their bits, too many to probe for. So
+texts meet that agree on a band of min-hashes of their sets of shingles, whatever was replaced, cut or
+appended, and 1024-bit fingerprints of the sets of shingles verify.
 """
 
 from __future__ import annotations
@@ -44,8 +43,11 @@ BLOCK, MOST_BLOCKS = 4096, 64
 BROADCAST_KEYS = 20_000
 #: Cost of one emitted key against one verified pair.
 KEY_COST = 40.0
-#: 64-bit words of the fingerprints that near_copies() probes and verifies, and differing bits of one word that are probed for.
-PROBE_WIDTH, SKETCH_WIDTH, PROBED = 4, 16, 3
+#: 64-bit words of the fingerprints that near_copies() verifies.
+SKETCH_WIDTH = 16
+#: Bands of min-hashes that near_copies() probes: at a similarity of 0.8 all bands differ for (1 - 0.8 ** 4) ** 20 = 3 pairs in 100,000, at more for fewer.
+BANDS, BAND_ROWS = 20, 4
+_MIN_HASH = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str | None, words: int = 4) -> np.ndarray:
@@ -92,6 +94,18 @@ def wide_fingerprint(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(counts * 2 > len(distinct), bitorder="little").view("<i8")
 
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS signed keys; two sets of hashes agree on one with the probability similarity ** BAND_ROWS."""
+    distinct = np.unique(hashes)
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(distinct), 4096):
+        x = distinct[at : at + 4096, None] * _MIN_HASH
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        np.minimum(least, x.min(axis=0), out=least)
+    rows = least.astype("<u8").reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in rows], np.uint64).view(np.int64)
+
+
 def differing_bits(similarity: float, width: int = SKETCH_WIDTH) -> int:
     """Bits in which wide fingerprints of sets of that Jaccard similarity differ, and one standard deviation more."""
     p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
@@ -313,14 +327,16 @@ def _verify(tau: int):
     return run
 
 
-def near_links(nodes: DataFrame, tau: int = 4, probed: tuple[str, ...] = ("fp",), verified: tuple[str, ...] = ("fp",), most: int | None = None) -> DataFrame:
+def near_links(nodes: DataFrame, tau: int = 4, verified: tuple[str, ...] = ("fp",), bands: str | None = None) -> DataFrame:
     """(u, v): a spanning forest, task by task, of the links among distinct fingerprints; nodes: fp, rep (none null).
 
-    Rows meet that differ in at most tau bits of one of the columns probed; they link at no more than `most` (tau) differing bits in all columns verified.
+    Rows meet that differ in at most tau bits of fp or, where a column of bands is named, agree on one of these; they link at no more than tau differing bits in all columns verified.
     """
-    n = nodes.count()
-    masks = [(c, x) for c in probed for x in plan_masks(nodes.select(F.col(c).alias("fp")), n, tau)]
-    keys = F.array(*[F.struct(F.lit(k).cast("smallint").alias("mask"), F.col(c).bitwiseAND(F.lit(signed(x))).alias("key")) for k, (c, x) in enumerate(masks)])
+    if bands:
+        keys = F.transform(bands, lambda x, k: F.struct(k.cast("smallint").alias("mask"), x.alias("key")))
+    else:
+        masks = plan_masks(nodes.select("fp"), nodes.count(), tau)
+        keys = F.array(*[F.struct(F.lit(k).cast("smallint").alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(x))).alias("key")) for k, x in enumerate(masks)])
     probes = nodes.select(*verified, "rep", F.explode(keys).alias("x")).select("x.mask", "x.key", *verified, "rep")
     hot = written(probes.groupBy("mask", "key").count().where(F.col("count") > BLOCK).select("mask", "key", F.least(F.ceil(F.col("count") / BLOCK), F.lit(MOST_BLOCKS)).cast("int").alias("blocks")), "hotkeys")
     n_hot = hot.count()
@@ -335,7 +351,7 @@ def near_links(nodes: DataFrame, tau: int = 4, probed: tuple[str, ...] = ("fp",)
     else:
         probes = probes.withColumn("cell", F.lit(0))
     dealt = probes.select("mask", "key", "cell", *verified, "rep").repartition("mask", "key", "cell").sortWithinPartitions("mask", "key", "cell")
-    return dealt.mapInArrow(_verify(tau if most is None else most), "u bigint, v bigint")
+    return dealt.mapInArrow(_verify(tau), "u bigint, v bigint")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = 4, words: int = 4) -> DataFrame:
@@ -362,16 +378,17 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     return fps.join(named.hint("merge"), "fp").select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
 
 
-def with_wide_fingerprints(df: DataFrame, text: str, words: int, probe: list[str], sketch: list[str]) -> DataFrame:
-    """Adds the wide fingerprints of the set of words and of the set of shingles of a text, a column to a word."""
+def with_wide_fingerprints(df: DataFrame, text: str, words: int, sketch: list[str], bands: str) -> DataFrame:
+    """Adds the wide fingerprint of the set of shingles of a text, a column to a word, and the bands of its min-hashes."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def both(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.concatenate((wide_fingerprint(shingle_hashes(t, 1), len(probe)), wide_fingerprint(shingle_hashes(t, words), len(sketch)))) for t in texts], dtype=object)
+        hashes = (shingle_hashes(t, words) for t in texts)
+        return pd.Series([np.concatenate((wide_fingerprint(h, len(sketch)), band_keys(h))) for h in hashes], dtype=object)
 
     [work] = free_name(df, "work")
     out = df.withColumn(work, both(F.col(text)))
-    return out.select(*df.columns, *(F.get(work, F.lit(k)).alias(c) for k, c in enumerate([*probe, *sketch])))
+    return out.select(*df.columns, *(F.get(work, F.lit(k)).alias(c) for k, c in enumerate(sketch)), F.slice(work, len(sketch) + 1, BANDS).alias(bands))
 
 
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -382,14 +399,14 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     equal. Rows whose doc_id is null link too, but can't name a component: it is null if no
     other row is in it. Repeated rows give a row each; no rows give no rows. Other columns are ignored.
     """
-    probe, sketch = [f"p{k}" for k in range(PROBE_WIDTH)], [f"s{k}" for k in range(SKETCH_WIDTH)]
+    sketch = [f"s{k}" for k in range(SKETCH_WIDTH)]
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = written(with_wide_fingerprints(rows, "text", words, probe, sketch).drop("text"), "fingerprints")
+    marked = written(with_wide_fingerprints(rows, "text", words, sketch, "bands").drop("text"), "fingerprints")
     top = int(marked.agg(F.max("doc_id")).first()[0] or 0)
-    grouped = marked.groupBy(*sketch).agg(F.min("doc_id").cast("bigint").alias("rep"), F.min(F.struct(*probe)).alias("p"))
+    grouped = marked.groupBy(*sketch).agg(F.min("doc_id").cast("bigint").alias("rep"), F.min("bands").alias("bands"))
     nameless = F.lit(top + 1) + F.shiftrightunsigned(F.xxhash64(*sketch), 2)
-    nodes = written(grouped.select(*sketch, "p.*", F.coalesce("rep", nameless).alias("rep")), "nodes")
-    links = near_links(nodes, PROBED, tuple(probe), tuple(sketch), differing_bits(similarity))
+    nodes = written(grouped.select(*sketch, "bands", F.coalesce("rep", nameless).alias("rep")), "nodes")
+    links = near_links(nodes, differing_bits(similarity), tuple(sketch), "bands")
     parts = connected_components(written(links, "near"))
     part = F.coalesce(F.col("component"), F.col("rep"))
     named = nodes.join(parts.hint("merge"), F.col("rep") == F.col("node"), "left").select(*sketch, F.when(part <= top, part).alias("component_id"))

@@ -159,6 +159,26 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
     assert {got[k] for k in range(160, 310)} == {160}
 
 
+def jaccard(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_cut_and_extended(spark):
+    """Copies that lost their end or got a passage of other words."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(150):
+        base = words(rng.randint(80, 600), 1000 + k, 3000).split()
+        cut, more = base[: int(len(base) * rng.choice((0.86, 0.9)))], words(int(len(base) * rng.choice((0.1, 0.15))), 5000 + k, 3000).split()
+        texts += [" ".join(base), " ".join(cut), words(90, 9000 + k, 3000), " ".join(base[: len(base) // 2] + [f"x{w}" for w in base]), " ".join(base + more)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, texts)).collect()}
+    pairs = [(5 * k, 5 * k + j) for k in range(150) for j in (1, 4) if jaccard(texts[5 * k], texts[5 * k + j]) >= 0.83]
+    assert len(pairs) > 250
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+    assert all(got[k] == k for k in range(2, 750, 5))
+
+
 def test_wide_fingerprint_is_a_majority():
     """Whatever the number of hashes, and however often one is repeated."""
     rng = np.random.default_rng(4)
