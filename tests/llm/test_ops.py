@@ -179,6 +179,27 @@ def test_near_copies_cut_and_extended(spark):
     assert all(got[k] == k for k in range(2, 750, 5))
 
 
+def test_near_copies_are_exact(spark, monkeypatch):
+    """Pairs on both sides of 0.8, alone, in a chain of a group that is dealt out, and of few words: components are those of exact similarities."""
+    monkeypatch.setattr(simhash, "EXACT_BLOCK", 16)
+    texts = []
+    for k in range(60):
+        base = words(200, 300 + k, 3000).split()
+        texts += [" ".join(base), " ".join(base[: 150 + k])]
+    chain = words(600, 41, 3000).split()
+    texts += [" ".join(chain[3 * k : 3 * k + 200]) for k in range(60)] + [" ".join(chain[9 * k + 20 : 9 * k + 160]) for k in range(20)]
+    few = "one two three four five six seven eight nine ten".split()
+    texts += [" ".join(few[:k]) for k in range(1, 11)]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    want = components(len(texts), links)
+    docs = documents(spark, texts)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs, exact=True).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    nameless = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id"))).unionByName(docs.where("doc_id = 1"))
+    named = [min((x for x, c in enumerate(want) if c == p and x % 3), default=None) for p in want]
+    assert Counter(r.component_id for r in simhash.near_copies(nameless, exact=True).collect()) == Counter([*named, named[1]])
+
+
 def test_wide_fingerprint_is_a_majority():
     """Whatever the number of hashes, and however often one is repeated."""
     rng = np.random.default_rng(4)
