@@ -160,8 +160,8 @@ def random_spans(text: Column, table: Iterable[float] | None = None) -> Column:
 
 
 def all_spans(base: Column, found: Column) -> Column:
-    """Base spans, and of the others those that overlap none of them."""
-    return F.sort_array(F.concat(base, F.filter(found, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))))
+    """Base spans, and of the others those that reach out of each of them: redacted() merges what overlaps."""
+    return F.sort_array(F.concat(base, F.filter(found, lambda r: ~F.exists(base, lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])))))
 
 
 def digest_of(spans: Column) -> Column:
