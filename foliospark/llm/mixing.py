@@ -1,29 +1,31 @@
 """Mixing sources to target weights by Pfair scheduling, DataFrame operations only.
 
-Rows of a source, in a hashed order, form blocks of `block_rows`. The j-th block of a source
-of weight w is released at slot floor((j-1)/w) and due by ceil(j/w); earliest deadline first
-among released blocks gives every slot to one source, so that at any slot each source
-deviates from its share by less than one block. Weights are rounded to a period of P slots,
-so the schedule repeats and only one period is laid out, on the driver, from weights alone.
-When a source runs out, the others go on by their renormalised weights (a new phase);
-no row is dropped or repeated.
+Rows of a source, in a hashed order, form blocks of `block_rows`. In a fluid mixture all sources are
+served at once by their weights, and when one runs out the others go on by their renormalised weights.
+The j-th block of a source is released at the slot in which the fluid mixture begins it and due by the end
+of that in which it ends it (floor((j-1)/w) and ceil(j/w) while all sources last); earliest deadline first
+among released blocks meets all deadlines, so that at any slot each source deviates from its exact
+share by less than one block. One task lays out the schedule, a row to a block; no row is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_right
+from collections.abc import Iterator
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliospark.llm.common import dropped, free_name, written
+from foliospark.llm.common import free_name, written
 
 BLOCK_ROWS = 16
 PERIOD = 1000
-#: Sources are mixture components: their weights and block counts pass through the driver.
+#: Sources are mixture components.
 MOST_SOURCES = 5000
 #: Rows of one window; a source of any size is split into hash ranges of about this many rows.
 RANGE_ROWS = 4096
@@ -47,56 +49,74 @@ def shares(weights: dict, period: int = PERIOD) -> dict:
     return out
 
 
-def edf(slots: dict) -> list:
-    """One period: the source of each slot, earliest deadline first among the released blocks."""
-    period = sum(slots.values())
-    waiting = sorted((0, s) for s in slots) if all(isinstance(s, str) for s in slots) else [(0, s) for s in slots]
-    heapq.heapify(waiting)
+def placed(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int]]:
+    """(source, block) of each slot, earliest deadline first among the released blocks."""
+    order = sorted((k for k in range(len(blocks)) if blocks[k] > 0), key=lambda k: Fraction(blocks[k], weights[k]))
+    ends = [blocks[k] / weights[k] for k in order]
+    # Up to the k-th end, the fluid mixture has served gone[k] + rate[k] * v at the virtual time v.
+    gone, rate = [0], [sum(weights[k] for k in order)]
+    for k in order:
+        gone.append(gone[-1] + blocks[k])
+        rate.append(rate[-1] - weights[k])
+
+    def served(j: int, w: int) -> tuple[int, int]:
+        """j / w as a time: whole slots, and 1 if a part of one is left."""
+        k = bisect_right(ends, j / w)
+        while k < len(order) and blocks[order[k]] * w <= j * weights[order[k]]:
+            k += 1
+        while k and blocks[order[k - 1]] * w > j * weights[order[k - 1]]:
+            k -= 1
+        whole, rest = divmod(rate[k] * j, w)
+        return gone[k] + whole, int(rest > 0)
+
+    waiting = [(0, k) for k in sorted(order)]
     ready: list = []
-    done = dict.fromkeys(slots, 0)
-    out = []
-    for t in range(period):
+    done = [0] * len(blocks)
+    for t in range(gone[-1]):
         while waiting and waiting[0][0] <= t:
-            _, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(done[s] + 1) * period // slots[s]), s))
-        _, s = heapq.heappop(ready)
-        done[s] += 1
-        out.append(s)
-        if done[s] < slots[s]:
-            heapq.heappush(waiting, (done[s] * period // slots[s], s))
-    return out
+            _, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (sum(served(done[k] + 1, weights[k])), k))
+        _, k = heapq.heappop(ready)
+        yield k, done[k]
+        done[k] += 1
+        if done[k] < blocks[k]:
+            heapq.heappush(waiting, (served(done[k], weights[k])[0], k))
+
+
+def edf(slots: dict) -> list:
+    """One period: the source of each slot."""
+    names = sorted(slots, key=str)
+    numbers = [slots[s] for s in names]
+    return [names[k] for k, _ in placed(numbers, numbers)]
+
+
+def whole_weights(weights: list) -> list[int]:
+    """Integers in the same proportions."""
+    exact = list(map(Fraction, weights))
+    common = math.lcm(*(w.denominator for w in exact))
+    return [int(w * common) for w in exact]
+
+
+def _scheduled(named: dict | None, block_rows: int, period: int | None):
+    """Rows (source, count), all in one partition, to rows (source, block, slot)."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = dict(sorted((s, int(n)) for f in frames for s, n in zip(f.iloc[:, 0], f.iloc[:, 1])))
+        mean = sum(named.values()) / len(named) if named else Fraction(1)
+        by = tempered(counts) if named is None else {s: named.get(s, mean) for s in counts}
+        if period and counts:
+            by = shares(by, period)
+        names = list(counts)
+        out: list = []
+        for slot, (k, block) in enumerate(placed(whole_weights([by[s] for s in names]), [-(-counts[s] // block_rows) for s in names])):
+            out.append((names[k], block, slot))
+            if len(out) == 1 << 16:
+                yield pd.DataFrame(out, columns=["q_source", "q_block", "q_slot"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["q_source", "q_block", "q_slot"])
 
-def schedule(weights: dict, blocks: dict, period: int = PERIOD) -> tuple[list[tuple], list[tuple]]:
-    """(phases, places). phases: (source, phase, first block, blocks, first slot, slots a period, period); places: (phase, source, k, slot in the period)."""
-    phases, places = [], []
-    left = {s: n for s, n in blocks.items() if n > 0}
-    used = dict.fromkeys(left, 0)
-    slot = phase = 0
-    while left:
-        slots = shares({s: weights[s] for s in left}, period)
-        length = sum(slots.values())
-        at: dict = {s: [] for s in slots}
-        for t, s in enumerate(edf(slots)):
-            at[s].append(t)
-        ends = min((n - 1) // slots[s] * length + at[s][(n - 1) % slots[s]] for s, n in left.items()) + 1
-        whole, rest = divmod(ends, length)
-        for s in sorted(left):
-            n = whole * slots[s] + sum(t < rest for t in at[s])
-            if n:
-                phases.append((s, phase, used[s], n, slot, slots[s], length))
-                places += [(phase, s, k, t) for k, t in enumerate(at[s]) if k < n]
-                used[s] += n
-                left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-        slot += ends
-        phase += 1
-    return phases, places
-
-
-def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    df = spark.createDataFrame(rows, schema)
-    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+    return run
 
 
 def tempered(counts: dict, power: float = 0.7) -> dict:
@@ -104,48 +124,41 @@ def tempered(counts: dict, power: float = 0.7) -> dict:
     return {s: Fraction(round(max(n, 1) ** power * 1000), 1000) for s, n in counts.items()}
 
 
-def mixed(df: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str | None = "text", weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, seed: int = 5) -> DataFrame:
+def mixed(df: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str | None = "text", weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None, seed: int = 5) -> DataFrame:
     """df with mix_block (number of the block in its source), mix_slot and mix_pos, which orders the mixture.
 
     weights: of each source (a null source is named None); sources not named get the mean of the named. Default: tempered().
+    period: if given, weights are rounded to so many slots first; otherwise they hold exactly.
     Every row is placed once; rows that are equal in id and text are tied in any order. No rows give no rows.
     The new columns are named with leading underscores where df has such names already.
     """
-    spark = df.sparkSession
     name, h, bucket, n, before, place = free_name(df, "source_key", "hash_key", "bucket", "n_rows", "before", "place")
     block, slot, pos = free_name(df, "mix_block", "mix_slot", "mix_pos")
     key = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
     hashed = F.xxhash64(F.lit(seed), doc_id, *([text] if text else []))
-    counted = df.groupBy(key.alias(name)).count().orderBy(name).limit(MOST_SOURCES + 1).collect()
-    if len(counted) > MOST_SOURCES:
+    counted = df.groupBy(key.alias(name)).count()
+    sources = counted.agg(F.count("*"), F.sum("count")).first()
+    if sources[0] > MOST_SOURCES:
         raise ValueError(f"over {MOST_SOURCES} sources: name fewer mixture components")
-    counts = {r[0]: r[1] for r in counted}
-    total = sum(counts.values())
-    if weights is None:
-        by = tempered(counts)
-    else:
-        named = {"n" if s is None else f"s{s}": Fraction(w) for s, w in weights.items()}
-        mean = sum(named.values()) / max(len(named), 1) if named else Fraction(1)
-        by = {s: named.get(s, mean) for s in counts}
-        if any(w <= 0 for w in by.values()):
-            raise ValueError("weights must be positive")
+    total = sources[1] or 0
+    named = None if weights is None else {"n" if s is None else f"s{s}": Fraction(w) for s, w in weights.items()}
+    if named and any(w <= 0 for w in named.values()):
+        raise ValueError("weights must be positive")
     bits = max(0, math.ceil(math.log2(max(total, 1) / RANGE_ROWS)) if total > RANGE_ROWS else 0)
     keyed = df.withColumn(name, key).withColumn(h, hashed).withColumn(bucket, F.shiftrightunsigned(F.col(h), 64 - bits).cast("int") if bits else F.lit(0))
     ranges = df.select(key.alias(name), hashed.alias(h)).withColumn(bucket, F.shiftrightunsigned(F.col(h), 64 - bits).cast("int") if bits else F.lit(0)).groupBy(name, bucket).count()
     offsets = ranges.select(name, bucket, (F.sum("count").over(Window.partitionBy(name).orderBy(bucket)) - F.col("count")).alias(before))
     within = Window.partitionBy(name, bucket).orderBy(h, doc_id, *([F.xxhash64(text)] if text else []))
-    phases, places = schedule(by, {s: -(-c // block_rows) for s, c in counts.items()}, period)
-    p = _small(spark, phases, "p_source string, p_phase int, p_first bigint, p_blocks bigint, p_slot bigint, p_slots bigint, p_period bigint")
-    q = _small(spark, places, "q_phase int, q_source string, q_k bigint, q_at bigint")
-    i = F.col(block) - F.col("p_first")
+    q = written(counted.repartition(1).mapInPandas(_scheduled(named, block_rows, period), "q_source string, q_block bigint, q_slot bigint"), "schedule")
+    if total // block_rows + sources[0] <= BROADCAST_ROWS:  # no more blocks than that
+        q = F.broadcast(q)
     return (
         keyed.withColumn(place, F.row_number().over(within) - 1)
         .join(offsets, [name, bucket])
         .withColumn(place, F.col(place) + F.col(before))
         .withColumn(block, F.floor(F.col(place) / block_rows).cast("long"))
-        .join(p, (F.col(name) == F.col("p_source")) & (i >= 0) & (i < F.col("p_blocks")))
-        .join(q, (F.col("q_phase") == F.col("p_phase")) & (F.col("q_source") == F.col(name)) & (F.col("q_k") == i % F.col("p_slots")))
-        .withColumn(slot, F.col("p_slot") + F.floor(i / F.col("p_slots")) * F.col("p_period") + F.col("q_at"))
+        .join(q, (F.col(name) == F.col("q_source")) & (F.col(block) == F.col("q_block")))
+        .withColumn(slot, F.col("q_slot"))
         .withColumn(pos, F.col(slot) * block_rows + F.col(place) % block_rows)
         .select(*df.columns, block, slot, pos)
     )

@@ -401,6 +401,33 @@ def test_schedule_deviation():
             assert all(abs(seen[x] - Fraction(t * slots[x], 100)) < 1 for x in slots)
 
 
+@pytest.mark.parametrize("n", [2, 11, 22, 201])
+def test_exact_deviation(n):
+    """Every source stays within a block of its unrounded share, over many periods, until the first runs out; all blocks come once and in order."""
+    weights = [100_000 * n, *(190_000 + 977 * k % 3001 for k in range(n - 1))]
+    blocks = [20_000 * w // sum(weights) + 1 + k % 3 for k, w in enumerate(weights)]
+    seen, total = [0] * n, sum(weights)
+    first = min(b * total // w for b, w in zip(blocks, weights))
+    for t, (k, block) in enumerate(mixing.placed(weights, blocks), 1):
+        assert block == seen[k]
+        seen[k] += 1
+        if t <= first and (t % 97 == 0 or n < 3):
+            assert all(abs(x * total - t * w) < total for x, w in zip(seen, weights))
+    assert seen == blocks
+
+
+def test_mixed_by_exact_weights(spark):
+    """Also of a source that is due less than a slot of a thousand."""
+    weights = {"a": 1, "b": Fraction(1, 3000), "c": Fraction(2, 3)}
+    df = spark.range(9000).selectExpr("id as doc_id", "case when id < 20 then 'b' when id % 3 < 2 then 'a' else 'c' end as source")
+    got = mixing.mixed(df, text=None, weights=weights, block_rows=1).orderBy("mix_slot").collect()
+    assert [r.mix_slot for r in got] == list(range(9000))
+    total, seen = sum(map(Fraction, weights.values())), Counter()
+    for t, r in enumerate(got[:7400], 1):
+        seen[r.source] += 1
+        assert all(abs(seen[s] - t * Fraction(w) / total) < 1 for s, w in weights.items())
+
+
 def test_mixing_rows(spark):
     rng = random.Random(3)
     rows = [(k, "a" if rng.random() < 0.5 else rng.choice(["b", "c", None]), f"t{k}") for k in range(3000)]
