@@ -25,8 +25,6 @@ from foliospark.llm.common import free_name, written
 
 BLOCK_ROWS = 16
 PERIOD = 1000
-#: Sources are mixture components.
-MOST_SOURCES = 5000
 #: Rows of one window; a source of any size is split into hash ranges of about this many rows.
 RANGE_ROWS = 4096
 #: Rows up to which a schedule is broadcast (48 bytes each); longer ones are joined by shuffle.
@@ -138,8 +136,6 @@ def mixed(df: DataFrame, source: str = "source", doc_id: str = "doc_id", text: s
     hashed = F.xxhash64(F.lit(seed), doc_id, *([text] if text else []))
     counted = df.groupBy(key.alias(name)).count()
     sources = counted.agg(F.count("*"), F.sum("count")).first()
-    if sources[0] > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources: name fewer mixture components")
     total = sources[1] or 0
     named = None if weights is None else {"n" if s is None else f"s{s}": Fraction(w) for s, w in weights.items()}
     if named and any(w <= 0 for w in named.values()):

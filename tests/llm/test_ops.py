@@ -428,6 +428,14 @@ def test_mixed_by_exact_weights(spark):
         assert all(abs(seen[s] - t * Fraction(w) / total) < 1 for s, w in weights.items())
 
 
+def test_mixing_many_sources(spark):
+    """Over 5,000 sources: every row has a place of its own."""
+    df = spark.range(7000).selectExpr("id as doc_id", "concat('s', least(id, 6000)) as source")
+    got = mixing.mixed(df, text=None).collect()
+    assert sorted(r.doc_id for r in got) == list(range(7000))
+    assert sorted({r.mix_slot for r in got}) == list(range(6000 + 63)) and len({r.mix_pos for r in got}) == 7000
+
+
 def test_mixing_rows(spark):
     rng = random.Random(3)
     rows = [(k, "a" if rng.random() < 0.5 else rng.choice(["b", "c", None]), f"t{k}") for k in range(3000)]
