@@ -5,7 +5,8 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from foliospark.llm import quality, secrets, simhash
+from foliospark.llm import mixing, quality, secrets, simhash
+from foliospark.llm.common import written
 
 
 def test_stages(spark, sf):
@@ -30,6 +31,16 @@ def test_stages(spark, sf):
     assert {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf).collect()} == {r.doc_id: r.n_tokens for r in rows["bpe_encode"]}
 
 
+def test_order_reaches_the_result(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text").repartition(7)
+    placed = mixing.mixed(docs)
+    want = [r.doc_id for r in placed.orderBy(placed.columns[-1]).collect()]
+    stored = written(corpus_pipeline.mix_sources(spark, docs, sf), "mixed")
+    rows = written(corpus_pipeline.bpe_encode(spark, stored, sf).repartition(5), "encoded").collect()
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.mix_pos)] == want
+    assert len({r.mix_pos for r in rows}) == len(rows)
+
+
 @pytest.mark.parametrize("name", sorted(__import__("foliospark.llm.queries", fromlist=["x"]).oracle_sql()))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
