@@ -173,8 +173,8 @@ def _joined(basis: np.ndarray, least: float, eps: float):
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.95) -> DataFrame:
     """A row per row of df: vec_id, n_links (other vectors at cosine >= least), component_id (smallest vec_id reachable), kept (vec_id = component_id).
 
-    Vectors that are null, zero, hold a null or non-finite component, or differ from the
-    commonest length, link with nothing. Repeated rows are vectors of their own: they link,
+    Vectors link with those of their own length; those that are null, zero, or hold a null or
+    non-finite component link with nothing. Repeated rows are vectors of their own: they link,
     and kept is true for each with the smallest id. Rows with a null vec_id keep a null
     component_id if all vectors in reach lack an id. Other columns are ignored.
     """
@@ -183,11 +183,16 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     good = rows.where(F.col("vec").isNotNull() & (F.size("vec") > 0) & F.forall("vec", finite) & F.exists("vec", lambda x: x != 0.0))
     # Zero has two signs; equal vectors must be equal as keys.
     good = good.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0))).withColumn("width", F.size("vec"))
-    widths = good.groupBy("width").count().orderBy(F.desc("count"), "width").limit(1).collect()
-    width = widths[0]["width"] if widths else 0
-    plain = F.when(F.col("vec_id").isNotNull(), F.lit(True)).otherwise(F.lit(False)).alias("kept")
-    if not widths:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), plain)
+    usable = F.col("vec").isNotNull() & (F.size("vec") > 0) & F.forall("vec", finite) & F.exists("vec", lambda x: x != 0.0)
+    alone = rows.where(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
+    out = alone
+    for [width] in good.select("width").distinct().orderBy("width").collect():
+        out = _of_one_width(good, width, least).unionByName(out)
+    return out.select("vec_id", "n_links", F.col("component_id").cast(df.schema[vec_id].dataType).alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _of_one_width(good: DataFrame, width: int, least: float) -> DataFrame:
+    """vec_id, n_links, component_id of the vectors of one length; good: vec_id, vec, width."""
     basis_k = min(DIRECTIONS, width)
     eps = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
     keyed = written(good.where(F.col("width") == width).select("vec_id", F.sha2(F.to_json("vec").cast("binary"), 256).alias("same"), "vec"), "vectors")
@@ -226,7 +231,4 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
         .join(parts.hint("merge"), F.col("id") == F.col("node"), "left")
         .select("same", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.when(reached <= int(top), reached).alias("component_id"))
     )
-    linked_rows = keyed.select("vec_id", "same").join(by_class.hint("merge"), "same").select("vec_id", "n_links", "component_id")
-    usable = F.col("vec").isNotNull() & (F.size("vec") == width) & F.forall("vec", finite) & F.exists("vec", lambda x: x != 0.0)
-    alone = rows.where(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
-    return linked_rows.unionByName(alone).select("vec_id", "n_links", F.col("component_id").cast(df.schema[vec_id].dataType).alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return keyed.select("vec_id", "same").join(by_class.hint("merge"), "same").select("vec_id", "n_links", "component_id")

@@ -562,6 +562,23 @@ def test_embeddings_against_brute_force(spark, sf, monkeypatch, tile, leaf):
     assert {r.n_links for r in embeddings.near_vectors(df.where("vec_id in (3000, 3001)")).collect()} == {0}
 
 
+def test_embeddings_of_several_widths(spark):
+    """Equal and near vectors link within every length; lengths never mix."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for width, n in ((8, 30), (5, 12), (3, 2), (1, 1)):
+        for _ in range(n):
+            x = rng.normal(size=width)
+            at = len(rows)
+            rows += [(at, x.tolist()), (at + 1, (x * 2).tolist()), (at + 2, x.tolist())]
+    rows += [(len(rows), None), (len(rows) + 1, [0.0, 0.0])]
+    vectors = [None if v is None or not any(v) else np.array(v) / np.linalg.norm(v) for _, v in rows]
+    near = [(i, j) for i, x in enumerate(vectors) for j, y in enumerate(vectors[:i]) if x is not None and y is not None and len(x) == len(y) and x @ y >= 0.95]
+    want, count = components(len(rows), near), Counter(k for pair in near for k in pair)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {k: (count[k], want[k], want[k] == k) for k in range(len(rows))}
+
+
 # ---- 9 ----
 
 
