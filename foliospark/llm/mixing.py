@@ -5,28 +5,31 @@ served at once by their weights, and when one runs out the others go on by their
 The j-th block of a source is released at the slot in which the fluid mixture begins it and due by the end
 of that in which it ends it (floor((j-1)/w) and ceil(j/w) while all sources last); earliest deadline first
 among released blocks meets all deadlines, so that at any slot each source deviates from its exact
-share by less than one block. One task lays out the schedule, a row to a block; no row is dropped or repeated.
+share by less than one block. The driver lays out the schedule, a row to a block, and writes it in chunks; no row is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from bisect import bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliospark.llm.common import free_name, written
+from foliospark.llm.common import free_name, new_path
 
 BLOCK_ROWS = 16
 PERIOD = 1000
 #: Rows of one window; a source of any size is split into hash ranges of about this many rows.
 RANGE_ROWS = 4096
+#: Blocks that the driver writes at once.
+CHUNK = 1 << 18
 #: Rows up to which a schedule is broadcast (48 bytes each); longer ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -95,26 +98,25 @@ def whole_weights(weights: list) -> list[int]:
     return [int(w * common) for w in exact]
 
 
-def _scheduled(named: dict | None, block_rows: int, period: int | None):
-    """Rows (source, count), all in one partition, to rows (source, block, slot)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = dict(sorted((s, int(n)) for f in frames for s, n in zip(f.iloc[:, 0], f.iloc[:, 1])))
-        mean = sum(named.values()) / len(named) if named else Fraction(1)
-        by = tempered(counts) if named is None else {s: named.get(s, mean) for s in counts}
-        if period and counts:
-            by = shares(by, period)
-        names = list(counts)
-        out: list = []
-        for slot, (k, block) in enumerate(placed(whole_weights([by[s] for s in names]), [-(-counts[s] // block_rows) for s in names])):
-            out.append((names[k], block, slot))
-            if len(out) == 1 << 16:
-                yield pd.DataFrame(out, columns=["q_source", "q_block", "q_slot"])
-                out = []
-        if out:
-            yield pd.DataFrame(out, columns=["q_source", "q_block", "q_slot"])
-
-    return run
+def _scheduled(counts: DataFrame, named: dict | None, block_rows: int, period: int | None) -> DataFrame:
+    """(q_source, q_block, q_slot), from the rows of each source; the driver holds the sources and one chunk of blocks."""
+    spark = counts.sparkSession
+    rows = dict(sorted((s, n) for s, n in counts.collect()))
+    mean = sum(named.values()) / len(named) if named else Fraction(1)
+    by = tempered(rows) if named is None else {s: named.get(s, mean) for s in rows}
+    if period and rows:
+        by = shares(by, period)
+    names = list(rows)
+    slots = enumerate(placed(whole_weights([by[s] for s in names]), [-(-rows[s] // block_rows) for s in names]))
+    path = new_path(spark, "schedule")
+    schema = pa.schema([("q_source", pa.string()), ("q_block", pa.int64()), ("q_slot", pa.int64())])
+    while True:
+        chunk = [(names[k], block, slot) for slot, (k, block) in itertools.islice(slots, CHUNK)]
+        if chunk or not rows:
+            columns = [pa.array(c, t) for c, t in zip(zip(*chunk), schema.types)] if chunk else [pa.array([], t) for t in schema.types]
+            spark.createDataFrame(pa.Table.from_arrays(columns, schema=schema)).write.mode("append").parquet(path)
+        if len(chunk) < CHUNK:
+            return spark.read.schema("q_source string, q_block bigint, q_slot bigint").parquet(path)
 
 
 def tempered(counts: dict, power: float = 0.7) -> dict:
@@ -145,7 +147,7 @@ def mixed(df: DataFrame, source: str = "source", doc_id: str = "doc_id", text: s
     ranges = df.select(key.alias(name), hashed.alias(h)).withColumn(bucket, F.shiftrightunsigned(F.col(h), 64 - bits).cast("int") if bits else F.lit(0)).groupBy(name, bucket).count()
     offsets = ranges.select(name, bucket, (F.sum("count").over(Window.partitionBy(name).orderBy(bucket)) - F.col("count")).alias(before))
     within = Window.partitionBy(name, bucket).orderBy(h, doc_id, *([F.xxhash64(text)] if text else []))
-    q = written(counted.repartition(1).mapInPandas(_scheduled(named, block_rows, period), "q_source string, q_block bigint, q_slot bigint"), "schedule")
+    q = _scheduled(counted, named, block_rows, period)
     if total // block_rows + sources[0] <= BROADCAST_ROWS:  # no more blocks than that
         q = F.broadcast(q)
     return (
