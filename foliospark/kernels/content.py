@@ -30,6 +30,10 @@ GLYPHS = {
 }
 
 
+_LATIN = tuple(map(chr, range(256)))
+_WIN_ANSI = tuple(bytes([k]).decode("cp1252", "replace") for k in range(256))
+
+
 def multiply(m: tuple, n: tuple) -> tuple:
     """m, then n."""
     a, b, c, d, e, f = m
@@ -55,7 +59,7 @@ def font_decoder(doc: Document, font: Any) -> Callable[[bytes], str]:
         return lambda x: x[: len(x) // 2 * 2].decode("utf-16-be", "replace")
     e = doc.get(font.get("Encoding"))
     base = e.get("BaseEncoding") if isinstance(e, dict) else e
-    table = [bytes([k]).decode("cp1252", "replace") if base == "WinAnsiEncoding" else chr(k) for k in range(256)]
+    table = list(_WIN_ANSI if base == "WinAnsiEncoding" else _LATIN)
     at = 0
     for x in doc.get(e.get("Differences")) or [] if isinstance(e, dict) else []:
         if isinstance(x, Name):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 from typing import Any
 
 from foliospark.kernels.document import Document, Page
@@ -13,20 +14,25 @@ COLLAPSE = 128
 INHERITED = ("MediaBox", "CropBox", "Resources", "Rotate")
 
 
-def structural_hash(x: Any, get, seen: tuple = ()) -> str | None:
-    """Hash of an object graph: dictionaries by sorted key, lengths left out; None for a graph with a cycle."""
+def structural_hash(x: Any, get, memo: dict[int, str | None] | None = None) -> str | None:
+    """Hash of an object graph: dictionaries by sorted key, lengths left out; None for a graph with a cycle.
+
+    memo keeps the hashes of a document's objects by number, so that shared objects are walked once; an object under way counts as None, and one that reaches it lies on a cycle too.
+    """
+    memo = {} if memo is None else memo
     if isinstance(x, Ref):
-        if x.num in seen:
-            return None
-        return structural_hash(get(x), get, (*seen, x.num))
+        if x.num not in memo:
+            memo[x.num] = None
+            memo[x.num] = structural_hash(get(x), get, memo)
+        return memo[x.num]
     if isinstance(x, Stream):
-        inner = structural_hash({k: v for k, v in x.dict.items() if k != "Length"}, get, seen)
+        inner = structural_hash({k: v for k, v in x.dict.items() if k != "Length"}, get, memo)
         return None if inner is None else hashlib.sha256(f"stream {inner} {hashlib.sha256(x.raw).hexdigest()}".encode()).hexdigest()
     if isinstance(x, dict):
-        parts = [(k, structural_hash(v, get, seen)) for k, v in sorted(x.items()) if k != "Length"]
+        parts = [(k, structural_hash(v, get, memo)) for k, v in sorted(x.items()) if k != "Length"]
         said = None if any(h is None for _, h in parts) else "<<" + " ".join(f"{k} {h}" for k, h in parts) + ">>"
     elif isinstance(x, list):
-        items = [structural_hash(v, get, seen) for v in x]
+        items = [structural_hash(v, get, memo) for v in x]
         said = None if None in items else "[" + " ".join(items) + "]"
     else:
         said = value_bytes(x).decode("latin-1")
@@ -42,12 +48,16 @@ class Importer:
         self.copies: dict[tuple[int, int], Ref] = {}
         self.forms: dict[tuple[int, int], Ref] = {}
         self.sources: list[Document] = []
+        self.memos: list[dict[int, str | None]] = []
 
     def _source(self, doc: Document) -> int:
+        if self.sources and self.sources[-1] is doc:
+            return len(self.sources) - 1
         for k, d in enumerate(self.sources):
             if d is doc:
                 return k
         self.sources.append(doc)
+        self.memos.append({})
         return len(self.sources) - 1
 
     def copy(self, doc: Document, x: Any) -> Any:
@@ -68,7 +78,7 @@ class Importer:
         x = doc.get(ref)
         if x is None:
             return None
-        h = structural_hash(x, doc.get) if self.dedup and isinstance(x, Stream) else None
+        h = structural_hash(ref, doc.get, self.memos[key[0]]) if self.dedup and isinstance(x, Stream) else None
         if h is not None and h in self.by_hash:
             self.copies[key] = self.by_hash[h]
             return self.by_hash[h]
@@ -100,7 +110,7 @@ class Importer:
         return self.forms[key]
 
 
-def merge(documents: list[bytes], dedup: bool = True, object_streams: bool = False) -> bytes:
+def merge(documents: Iterable[bytes], dedup: bool = True, object_streams: bool = False) -> bytes:
     target = Builder()
     importer = Importer(target, dedup)
     for data in documents:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from typing import Any
 
 from foliospark.kernels.objects import Keyword, Name, PdfString, Ref
@@ -11,6 +12,11 @@ SPACE, DELIMITERS = b"\0\t\n\f\r ", b"()<>[]{}/%"
 DEPTH = 200
 
 _skip = re.compile(rb"(?:[\0\t\n\f\r ]+|%[^\r\n]*)*")
+#: One match for what most tokens are: space, then a name, a plain integer, a plain real or another regular word; else a bracket follows.
+_lexeme = re.compile(
+    rb"(?:[\0\t\n\f\r ]+|%[^\r\n]*)*(?:/([^\0\t\n\f\r ()<>\[\]{}/%]*)"
+    rb"|([+-]?\d+)(?=[\0\t\n\f\r ()<>\[\]{}/%]|\Z)|([+-]?\d+\.\d*)(?=[\0\t\n\f\r ()<>\[\]{}/%]|\Z)|([^\0\t\n\f\r ()<>\[\]{}/%]+))?"
+)
 _regular = re.compile(rb"[^\0\t\n\f\r ()<>\[\]{}/%]*")
 _number = re.compile(rb"[+-]*(?:\d+(?:\.\d*)?|\.\d*)-?\d*$")
 _hex_run = re.compile(rb"[^>]*")
@@ -29,6 +35,16 @@ class End:
 END = End()
 
 
+@lru_cache(maxsize=8192)
+def _name(word: bytes) -> Name:
+    if b"#" in word:
+        word = re.sub(rb"#([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), word)
+    try:
+        return Name(word.decode("utf-8"))
+    except UnicodeDecodeError:
+        return Name(word.decode("latin-1"))
+
+
 class Reader:
     def __init__(self, data: bytes, pos: int = 0, end: int | None = None):
         self.data, self.pos, self.end = data, pos, len(data) if end is None else end
@@ -38,27 +54,28 @@ class Reader:
 
     def token(self) -> Any:
         """A number, Name, PdfString or Keyword (brackets included), or END."""
-        self.skip()
-        if self.pos >= self.end:
+        data = self.data
+        m = _lexeme.match(data, self.pos, self.end)
+        self.pos = at = m.end()
+        kind = m.lastindex
+        if kind == 1:
+            return _name(m[1])
+        if kind == 2:
+            return int(m[2])
+        if kind == 3:
+            return float(m[3])
+        if kind == 4:
+            return self._number(m[4]) if m[4][0] in b"+-.0123456789" else Keyword(m[4])
+        if at >= self.end:
             return END
-        data, at = self.data, self.pos
         c = data[at]
-        if c == 0x2F:
-            return self._name()
         if c == 0x28:
             return self._literal()
-        if c == 0x3C:
-            if data[at + 1 : at + 2] == b"<":
-                self.pos += 2
-                return Keyword(b"<<")
+        two = data[at : at + 2]
+        if c == 0x3C and two != b"<<":
             return self._hex()
-        if c in b">[]{})":
-            two = data[at : at + 2] == b">>"
-            self.pos += 2 if two else 1
-            return Keyword(b">>" if two else data[at : at + 1])
-        word = _regular.match(data, at, self.end)[0]
-        self.pos += len(word)
-        return self._number(word) if c in b"+-.0123456789" else Keyword(word)
+        self.pos += 2 if two in (b"<<", b">>") else 1
+        return Keyword(two if two in (b"<<", b">>") else data[at : at + 1])
 
     def _number(self, word: bytes) -> Any:
         if not _number.match(word):
@@ -69,16 +86,6 @@ class Reader:
             return sign * float(body) if body != b"." else 0.0
         return sign * int(body)
 
-    def _name(self) -> Name:
-        word = _regular.match(self.data, self.pos + 1, self.end)[0]
-        self.pos += 1 + len(word)
-        if b"#" in word:
-            word = re.sub(rb"#([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), word)
-        try:
-            return Name(word.decode("utf-8"))
-        except UnicodeDecodeError:
-            return Name(word.decode("latin-1"))
-
     def _hex(self) -> PdfString:
         run = _hex_run.match(self.data, self.pos + 1, self.end)[0]
         self.pos = min(self.pos + 2 + len(run), self.end)

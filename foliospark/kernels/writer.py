@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 import struct
+from functools import lru_cache
+from itertools import accumulate
 from typing import Any
 
 from foliospark.kernels import filters
@@ -27,6 +29,7 @@ def number_bytes(x: float, digits: int = 6) -> bytes:
     return b"0" if out in ("-0", "") else out.encode()
 
 
+@lru_cache(maxsize=8192)
 def name_bytes(x: str) -> bytes:
     return b"/" + _odd.sub(lambda m: b"#%02X" % m[0][0], x.encode("utf-8", "surrogatepass"))
 
@@ -41,25 +44,28 @@ def string_bytes(x: bytes) -> bytes:
 
 def value_bytes(x: Any, number_of=lambda r: r.num) -> bytes:
     """A value in file notation. number_of gives the number that a reference is written with; None writes null."""
-    if x is None:
-        return b"null"
-    if x is True or x is False:
-        return b"true" if x else b"false"
-    if isinstance(x, Ref):
+    kind = type(x)
+    if kind is Name:
+        return name_bytes(x)
+    if kind is int:
+        return b"%d" % x
+    if kind is Ref:
         n = number_of(x)
         return b"null" if n is None else b"%d 0 R" % n
-    if isinstance(x, int | float):
+    if kind is dict:
+        return b"<<" + b"".join([name_bytes(k) + b" " + value_bytes(v, number_of) for k, v in x.items()]) + b">>"
+    if kind is list or kind is tuple:
+        return b"[" + b" ".join([value_bytes(v, number_of) for v in x]) + b"]"
+    if kind is float:
         return number_bytes(x)
-    if isinstance(x, Name):
-        return name_bytes(x)
+    if x is None:
+        return b"null"
+    if kind is bool:
+        return b"true" if x else b"false"
     if isinstance(x, str):
         return string_bytes(text_string(x))
     if isinstance(x, bytes):
         return string_bytes(x)
-    if isinstance(x, list | tuple):
-        return b"[" + b" ".join(value_bytes(v, number_of) for v in x) + b"]"
-    if isinstance(x, dict):
-        return b"<<" + b"".join(name_bytes(k) + b" " + value_bytes(v, number_of) for k, v in x.items()) + b">>"
     raise TypeError(f"no notation for {type(x).__name__}")
 
 
@@ -76,6 +82,7 @@ class Builder:
     def __init__(self, source: Document | None = None):
         self.source = source
         self.objects: dict[int, Any] = {}
+        self._tree: dict | None = None
         self.version = "1.7" if source is None else source.version
         if source is None:
             self.last = 0
@@ -117,10 +124,13 @@ class Builder:
 
     def append(self, d: dict) -> Ref:
         page = self.add(d | {"Parent": self.tree})
-        tree = dict(self.get(self.tree))
-        tree["Kids"] = [*(self.get(tree.get("Kids")) or []), page]
+        tree = self.get(self.tree)
+        if tree is not self._tree:  # a view of the source's, or put by a caller: copied once, then grown in place
+            tree = dict(tree) | {"Kids": list(self.get(tree.get("Kids")) or [])}
+            self._tree = tree
+            self.put(self.tree, tree)
+        tree["Kids"].append(page)
         tree["Count"] = (tree.get("Count") or 0) + 1
-        self.put(self.tree, tree)
         return page
 
     # -- saving --
@@ -183,7 +193,7 @@ class Builder:
             part = plain[at : at + OBJECTS_A_STREAM]
             last += 1
             texts = [value_bytes(x, number_of) for _, x in part]
-            starts = [sum(len(t) + 1 for t in texts[:k]) for k in range(len(texts))]
+            starts = list(accumulate((len(t) + 1 for t in texts[:-1]), initial=0))
             head = b" ".join(b"%d %d" % (num, s) for (num, _), s in zip(part, starts)) + b"\n"
             packed |= {num: (last, k) for k, (num, _) in enumerate(part)}
             body(last, Stream({"Type": Name("ObjStm"), "N": len(part), "First": len(head)}, head + b"\n".join(texts)))

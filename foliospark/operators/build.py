@@ -13,7 +13,7 @@ from foliospark.kernels.canvas import Canvas
 from foliospark.kernels.document import Document
 from foliospark.kernels.objects import Stream
 from foliospark.kernels.writer import Builder
-from foliospark.operators.rows import kernel
+from foliospark.operators.rows import group_kernel, kernel
 
 
 def generate(df: DataFrame, key: str, draw: Callable[[Builder, dict], None], object_streams: bool = False) -> DataFrame:
@@ -47,11 +47,12 @@ def grouped(df: DataFrame, key: str, order: list[str | Column], columns: list[st
 
 def merge(df: DataFrame, key: str, order: str, content: str = "content", dedup: bool = True, object_streams: bool = False) -> DataFrame:
     """The documents of each key, in order, as one; equal streams are kept once."""
+
     def run(k, rows):
-        yield k, importer.merge([r["body"] for r in rows], dedup, object_streams)
+        yield k, importer.merge((body for (body,) in rows), dedup, object_streams)
 
-    named = df.select(F.col(key), F.col(order), F.col(content).alias("body"))
-    return kernel(grouped(named, key, [order], ["body"]), run, f"doc_id {df.schema[key].dataType.simpleString()}, content binary")
+    named = df.select(F.col(key).alias("key"), F.col(order).alias("place"), F.col(content).alias("body"))
+    return group_kernel(named, run, "key", ["place"], ["body"], f"doc_id {df.schema[key].dataType.simpleString()}, content binary")
 
 
 def impose(df: DataFrame, columns: int, rows: int) -> DataFrame:

@@ -17,7 +17,8 @@ from foliospark.kernels.objects import Name, Stream
 from foliospark.kernels.writer import Builder
 from foliospark.operators import build as B
 from foliospark.operators import documents as D
-from foliospark.operators.rows import kernel
+from foliospark.operators.rows import kernel, spread
+from foliospark.session import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, tuple[Query, str | None]] = {}
@@ -35,18 +36,32 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def order_documents(spark, sf, object_streams=False, mode=0) -> DataFrame:
+def dealt(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table, for a kernel: every core gets rows."""
+    rows = table(spark, sf, name)
+    return spread(rows.select(*columns) if columns else rows)
+
+
+def order_documents(spark, sf, object_streams=False) -> DataFrame:
+    """A document per order, kept for all queries that read it."""
+    return kept(spark, f"orders {object_streams} {sf}", lambda: _order_documents(spark, sf, object_streams))
+
+
+def _order_documents(spark, sf, object_streams) -> DataFrame:
     def draw(c: K.Canvas, r: dict) -> None:
         c.begin_text().font("Helvetica", 12).render_mode(3 if r["o_orderstatus"] == "F" else 0).move_text(72, 720)
         c.show(f"ORDER {r['o_orderkey']} {r['o_orderpriority']}").end_text()
 
-    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    rows = dealt(spark, sf, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority")
     return B.generate(rows, "o_orderkey", B.page_of(draw), object_streams)
 
 
 def line_documents(spark, sf) -> DataFrame:
-    """A document per line item: key l_orderkey, order l_linenumber."""
+    """A document per line item, kept for all queries that read it: key l_orderkey, order l_linenumber."""
+    return kept(spark, f"lines {sf}", lambda: _line_documents(spark, sf))
+
 
+def _line_documents(spark, sf) -> DataFrame:
     def run(order, line, quantity, flag):
         b = Builder()
         layer = K.layer(b, flag)
@@ -55,12 +70,15 @@ def line_documents(spark, sf) -> DataFrame:
         c.page()
         yield order, line, b.save()
 
-    return kernel(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), run, "l_orderkey bigint, l_linenumber int, content binary")
+    return kernel(dealt(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), run, "l_orderkey bigint, l_linenumber int, content binary")
 
 
 def part_documents(spark, sf) -> DataFrame:
-    """A document per part: boxes, rotation, a placed image, a spot colour and a font, all from its columns."""
+    """A document per part, kept for all queries that read it: boxes, rotation, a placed image, a spot colour and a font, all from its columns."""
+    return kept(spark, f"parts {sf}", lambda: _part_documents(spark, sf))
+
 
+def _part_documents(spark, sf) -> DataFrame:
     def draw(b: Builder, r: dict) -> None:
         k, size = r["p_partkey"], r["p_size"]
         c = K.Canvas(b)
@@ -75,7 +93,7 @@ def part_documents(spark, sf) -> DataFrame:
             more["TrimBox"] = [400 + size, 500, 20, 20]  # corners the other way round
         c.page((0, 0, 612, 792), **more)
 
-    return B.generate(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey", draw)
+    return B.generate(dealt(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_size"), "p_partkey", draw)
 
 
 # ---- load, text, recovery ----
@@ -144,7 +162,7 @@ def xref_newest_wins(spark, sf):
 def token_counts(spark, sf):
     """Tokens of a generated text: 5 strings, names, numbers and brackets."""
     text = F.concat(F.lit("(a(b)c) (\\051) <41> () (x) /N#20m /B 1 -2.5 +3 .5 4. [ 1 2 ] << /K true >> q Q % note "), F.col("o_orderkey").cast("string"))
-    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.encode(text, "UTF-8").alias("content"))
+    rows = dealt(spark, sf, "orders", "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), F.encode(text, "UTF-8").alias("content"))
     return D.tokens(rows).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count(F.when(F.col("kind") == "string", 1)).alias("n_strings"))
 
 
@@ -242,7 +260,7 @@ def page_annotations(spark, sf):
         c.annotations.append(K.text_annotation((10, 10, 20, 20), r["s_name"], f"n{r['s_nationkey']}"))
         c.page()
 
-    return D.annotations(B.generate(table(spark, sf, "supplier"), "s_suppkey", draw)).select("doc_id", "subtype", "contents", "title")
+    return D.annotations(B.generate(dealt(spark, sf, "supplier", "s_suppkey", "s_name", "s_nationkey"), "s_suppkey", draw)).select("doc_id", "subtype", "contents", "title")
 
 
 @query("SELECT o_orderkey AS doc_id, 3::BIGINT AS texts, 'before' AS first, 'after' AS last FROM orders")
@@ -264,7 +282,7 @@ def document_information(spark, sf):
         b.add_page()
         b.info(Creator=f"order {r['o_orderkey']}", Producer="foliospark")
 
-    return D.pdf_docs(B.generate(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", draw)).select("doc_id", "creator", "producer")
+    return D.pdf_docs(B.generate(dealt(spark, sf, "orders", "o_orderkey"), "o_orderkey", draw)).select("doc_id", "creator", "producer")
 
 
 # ---- events and preflight ----
@@ -386,7 +404,7 @@ CODEC = "SELECT doc_id, octet_length(encode(text))::INTEGER AS n_bytes, sha256(t
 
 
 def _codec(spark, sf, encode, names):
-    rows = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+    rows = dealt(spark, sf, "documents", "doc_id", "text").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
     packed = kernel(rows, lambda k, raw: [(k, encode(raw))], "doc_id bigint, raw binary")
     out = packed.select("doc_id", U.decode(F.col("raw"), names).alias("data"))
     return out.select("doc_id", F.octet_length("data").alias("n_bytes"), F.sha2("data", 256).alias("digest"))
@@ -421,7 +439,7 @@ def filter_chain(spark, sf):
 
 @query(CODEC)
 def string_escape(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", U.read_string(U.literal_string(F.encode("text", "UTF-8"))).alias("data"))
+    rows = dealt(spark, sf, "documents", "doc_id", "text").select("doc_id", U.read_string(U.literal_string(F.encode("text", "UTF-8"))).alias("data"))
     return rows.select("doc_id", F.octet_length("data").alias("n_bytes"), F.sha2("data", 256).alias("digest"))
 
 
@@ -434,7 +452,7 @@ def to_unicode_decode(spark, sf):
     def run(key, name):
         yield key, ToUnicode.parse(data).decode(b"".join(ord(c).to_bytes(2) for c in name))
 
-    return kernel(table(spark, sf, "part").select("p_partkey", "p_name"), run, "doc_id bigint, text string")
+    return kernel(dealt(spark, sf, "part", "p_partkey", "p_name"), run, "doc_id bigint, text string")
 
 
 # ---- geometry, text, layout ----
@@ -472,7 +490,7 @@ def wrap_courier(spark, sf):
         fits = all(fonts.text_width(x, "Courier", 10) <= 300 for x in lines)
         yield key, fits, "".join(lines).replace(" ", "") == text.replace("\r\n", "\n").replace("\n", "").replace(" ", "")
 
-    return kernel(table(spark, sf, "documents").select("doc_id", "text"), run, "doc_id bigint, fits boolean, same_words boolean")
+    return kernel(dealt(spark, sf, "documents", "doc_id", "text"), run, "doc_id bigint, fits boolean, same_words boolean")
 
 
 @query("SELECT p_partkey AS id, round(540.0 * p_size / (p_size + 30.0), 6)::DOUBLE AS first, round(540.0 * 10 / (p_size + 30.0), 6)::DOUBLE AS second FROM part")
@@ -547,7 +565,7 @@ def qr_version(spark, sf):
 
 @query()
 def qr_matrix(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), U.qr_rows(F.col("p_name")).alias("rows"))
+    return dealt(spark, sf, "part", "p_partkey", "p_name").select(F.col("p_partkey").alias("id"), U.qr_rows(F.col("p_name")).alias("rows"))
 
 
 @query("SELECT p_partkey AS id, p_size * 7 AS width, p_size * 3 AS height, 3::INTEGER AS components FROM part")
