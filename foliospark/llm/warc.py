@@ -4,7 +4,7 @@ Every task writes archives of bounded size to a shared folder, one gzip member a
 under names that no other attempt uses; a manifest lists the files that count. The reader
 streams an archive: incremental zlib decompression member by member, framing by content
 length, digests verified. Of records with equal payloads one is a response and the others
-revisit it; the payload's digest decides, joined so that a hot payload is split by AQE.
+revisit it; the payload's digest decides, and payloads aren't moved to find out.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from foliospark.llm.common import new_path, written
 ARCHIVE_BYTES, READ_BYTES = 64 << 20, 1 << 20
 #: Payloads under this many bytes are never revisits.
 LEAST_REVISIT = 1000
+#: Recurring digests up to this number (50 bytes each) are broadcast.
+BROADCAST_DIGESTS = 200_000
 #: Rows of a batch between Spark and Python while payloads are carried.
 BATCH_BYTES = 16 << 20
 
@@ -141,15 +143,28 @@ def read_records(stream) -> Iterator[dict]:
 def with_revisits(df: DataFrame, page_id: str = "page_id", html: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url if any, payload, refers_to: the largest page_id of an equal payload of `least` bytes or more, null for that record itself and for all others.
 
-    Rows equal in id and payload are all responses; a null page_id never is referred to.
+    Rows equal in id and payload are all responses; a null page_id never is referred to. Which payloads recur is
+    decided on digests alone. Up to BROADCAST_DIGESTS of them are broadcast and payloads stay in place; beyond
+    that, only digests with many records are, at most four for each partition, and the others are joined by digest.
     """
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     url = F.coalesce(F.col("url").cast("string"), F.lit("")) if "url" in df.columns else F.lit("")
+    same = F.when(F.octet_length("payload") >= least, F.unhex(F.sha2("payload", 256))).alias("same")
     rows = df.select(F.col(page_id).alias("page_id"), url.alias("url"), payload.alias("payload"))
-    long = rows.where(F.octet_length("payload") >= least).select("page_id", F.sha2("payload", 256).alias("same"))
-    first = long.groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("same", "first")
-    keyed = rows.withColumn("key", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
-    return keyed.join(first.hint("merge"), F.col("key") == F.col("same"), "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    long = rows.select("page_id", same).where("same is not null")
+    first = written(long.groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null"), "digests")
+    n_first, n_records = first.agg(F.count("*"), F.sum("n")).first()
+    keyed = rows.select("*", same)
+    if n_first <= BROADCAST_DIGESTS:
+        joined = keyed.join(F.broadcast(first), "same", "left")
+    else:
+        hot = F.col("n") > max(1, n_records // (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        known = keyed.join(F.broadcast(first.where(hot)), "same", "left")
+        # Short payloads have no digest; of the others, those that no broadcast digest has told are joined by digest.
+        rest = known.where("first is null and same is not null").drop("first", "n")
+        told = known.where("first is not null or same is null")
+        joined = told.unionByName(rest.join(first.where(~hot).hint("shuffle_merge"), "same", "left"))
+    return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def write_archives(df: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
