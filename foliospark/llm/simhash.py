@@ -213,7 +213,7 @@ def plan_masks(nodes: DataFrame, n: int, tau: int) -> list[int]:
     total, costs = tau - m + 1, []
     for k, group in enumerate(groups):
         options = {-1: 0.0}
-        for t in range(0, min(total + m - 1, 3, len(group)) + 1):
+        for t in range(0, min(total + m - 1, len(group)) + 1):
             mean = float(np.mean(ratio[group]))
             agree = pairs.get(k, 0.0) * (1 + mean) ** t
             options[t] = math.comb(len(group), t) * (agree + KEY_COST * n)
@@ -357,16 +357,21 @@ def near_links(nodes: DataFrame, tau: int = 4, verified: tuple[str, ...] = ("fp"
     Rows meet that differ in at most tau bits of fp or, where a column of bands is named, agree on one of these; they link at no more than tau differing bits in all columns verified.
     """
     if bands:
-        keys = F.transform(bands, lambda x, k: F.struct(k.cast("smallint").alias("mask"), x.alias("key")))
+        keys = F.transform(bands, lambda x, k: F.struct(k.cast("int").alias("mask"), x.alias("key")))
     else:
         masks = plan_masks(nodes.select("fp"), nodes.count(), tau)
-        keys = F.array(*[F.struct(F.lit(k).cast("smallint").alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(x))).alias("key")) for k, x in enumerate(masks)])
+        keys = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(x))).alias("key")) for k, x in enumerate(masks)])
     probes = nodes.select(*verified, "rep", F.explode(keys).alias("x")).select("x.mask", "x.key", *verified, "rep")
     probes = with_cells(probes, ["mask", "key"], list(verified), BLOCK)
     dealt = probes.select("mask", "key", "cell", *verified, "rep").repartition("mask", "key", "cell").sortWithinPartitions("mask", "key", "cell")
     return dealt.mapInArrow(_verify(tau), "u bigint, v bigint")
 
 
+def _numeric(df: DataFrame, doc_id: str) -> None:
+    if not isinstance(df.schema[doc_id].dataType, T.IntegralType):
+        raise ValueError(f"{doc_id} must be a column of integers")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = 4, words: int = 4) -> DataFrame:
     """One row per row of df: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -374,7 +379,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     Null and empty texts have fingerprint zero and link like any other. Rows whose doc_id
     is null link too, but can't name a component: it is null if no other row is in it.
     Repeated rows and ids give a row each; no rows give no rows. Other columns are ignored.
+    Ids are numbers (ValueError otherwise). A larger tau stays exact and probes more keys.
     """
+    _numeric(df, doc_id)
     fps = written(with_fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), out="fp", words=words).select("doc_id", "fp"), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     linkable = nodes.where("rep is not null").select("fp", F.col("rep").cast("bigint").alias("rep"))
@@ -485,7 +492,9 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     fingerprints differ in at most differing_bits(similarity): the share of common shingles is
     estimated, with a standard deviation of 0.02. Null and empty texts are equal. Rows whose doc_id is null link too, but can't name a component: it is null if no
     other row is in it. Repeated rows give a row each; no rows give no rows. Other columns are ignored.
+    Ids are numbers (ValueError otherwise).
     """
+    _numeric(df, doc_id)
     sketch = [f"s{k}" for k in range(SKETCH_WIDTH)]
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
     marked = written(with_wide_fingerprints(rows, "text", words, sketch, "bands").drop("text"), "fingerprints")
