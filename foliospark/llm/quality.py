@@ -19,6 +19,8 @@ from foliospark.llm.common import SPACE_CHARS, dropped, free_name, let, text_of,
 
 #: Rows of the sample on which costs and selectivities are estimated; it serves for nothing else.
 SAMPLE_ROWS = 200
+#: A rule is timed over so many copies of the sample, so often.
+COPIES, REPEATS = 5, 3
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -120,36 +122,54 @@ RULES = [
 ]
 
 
-def estimate(df: DataFrame, text: str, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds a text, share rejected), measured one rule at a time on a sample of at most `rows` texts."""
+@dataclass(frozen=True)
+class Estimate:
+    rule: Rule
+    #: Seconds a text.
+    cost: float
+    #: Whether the rule rejects, for each text of the sample.
+    rejected: tuple[bool, ...]
+
+
+def estimate(df: DataFrame, text: str, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[Estimate]:
+    """What each rule costs and rejects, on a sample of at most `rows` texts. A rule is timed REPEATS times over COPIES of the sample; the least time counts."""
     sample = written(df.select(text_of(text).alias("text")).sample(fraction=0.1, seed=7).limit(rows).coalesce(1), "sample")
-    n = sample.count()
-    if not n:
+    if not sample.limit(1).count():
         dropped(sample)
         sample = written(df.select(text_of(text).alias("text")).limit(rows).coalesce(1), "sample")
-        n = sample.count()
     words = n_words(F.col("text"))
-
-    def timed(condition: Column) -> tuple[float, int]:
-        began = time.perf_counter()
-        hits = sample.agg(F.sum(condition.cast("int"))).first()[0] or 0
-        return time.perf_counter() - began, hits
-
-    timed(F.lit(True) & (words >= 0))
-    idle = timed(words >= 0)[0]
-    out = []
-    for rule in rules:
-        seconds, hits = timed(rule.rejects(F.col("text"), words))
-        out.append((rule, max(seconds - idle, idle / 20) / max(n, 1), hits / max(n, 1)))
+    verdicts = [r.rejects(F.col("text"), F.col("n")) for r in rules]
+    hits = sample.select("text", words.alias("n")).select(*(F.coalesce(v, F.lit(False)).alias(f"r{k}") for k, v in enumerate(verdicts))).collect() if rules else []
+    copies = sample.select("text", F.explode(F.sequence(F.lit(1), F.lit(COPIES)))).select("text", words.alias("n"))
+
+    def timed(condition: Column) -> float:
+        seconds = []
+        for _ in range(REPEATS):
+            began = time.perf_counter()
+            copies.agg(F.sum(condition.cast("int"))).first()
+            seconds.append(time.perf_counter() - began)
+        return min(seconds)
+
+    n = max(len(hits), 1)
+    idle = timed(F.col("n") >= 0)
+    costs = [max(timed(v) - idle, idle / 20) / (n * COPIES) for v in verdicts]
     dropped(sample)
+    return [Estimate(rule, cost, tuple(h[k] for h in hits)) for k, (rule, cost) in enumerate(zip(rules, costs))]
+
+
+def ordered(estimates: list[Estimate]) -> list[Rule]:
+    """By rejection per cost among the texts that the rules before have left, best first; rules that reject nothing more follow by cost."""
+    left, out = list(estimates), []
+    alive = [True] * max((len(e.rejected) for e in estimates), default=0)
+    while left:
+        gain = lambda e: sum(a and r for a, r in zip(alive, e.rejected)) / max(e.cost, 1e-9)
+        best = min(left, key=lambda e: (-gain(e), e.cost, e.rule.name))
+        alive = [a and not r for a, r in zip(alive, best.rejected)]
+        left.remove(best)
+        out.append(best.rule)
     return out
 
 
-def ordered(estimates: list[tuple[Rule, float, float]]) -> list[Rule]:
-    """By rejection per cost, best first; rules that rejected nothing follow by cost."""
-    return [r for r, _, _ in sorted(estimates, key=lambda x: (-(x[2] / max(x[1], 1e-9)), x[1], x[0].name))]
-
-
 def cascade(rules: list[Rule], text: Column, words: Column) -> Column:
     """True if no rule rejects; a rule is evaluated only where all before it have passed."""
     verdict = F.when(F.lit(False), F.lit(False))

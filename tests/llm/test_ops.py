@@ -243,7 +243,7 @@ def test_quality_measures(spark):
 
 def test_quality_cascade_order(spark):
     cheap, dear, idle = (quality.Rule(n, lambda t, n: n < 0) for n in ("cheap", "dear", "idle"))
-    assert [r.name for r in quality.ordered([(idle, 1.0, 0.0), (dear, 10.0, 0.5), (cheap, 1.0, 0.4)])] == ["cheap", "dear", "idle"]
+    assert [r.name for r in quality.ordered([quality.Estimate(idle, 1.0, (False,) * 4), quality.Estimate(dear, 10.0, (True, True, True, False)), quality.Estimate(cheap, 1.0, (False, False, True, True))])] == ["cheap", "dear", "idle"]
 
 
 def test_quality_agrees_with_labels(spark, sf):
