@@ -219,9 +219,14 @@ def _little_endian(ids: array) -> bytes:
 def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None, check: str | None = None) -> DataFrame:
     """df (or its columns `keep`) with the token ids of each text, array<int>. Null and empty texts have none.
 
+    New columns are underscored where those kept have such names. Repeated rows give a row each; no rows give none.
     check: name of one more column, whether the ids decode to the text's bytes again, told in the same pass.
     """
     keep = list(df.columns) if keep is None else keep
+    kept = df.select(*keep)
+    [out] = free_name(kept, out)
+    if check:
+        out, check = free_name(kept, out, check)
     [work] = free_name(df, "work")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +244,8 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids", out: str = "text_bytes") -> DataFrame:
-    """df with the bytes that its token ids stand for. Null ids give null."""
+    """df with the bytes that its token ids stand for (underscored where df has that name). Null ids give null; repeated rows give a row each."""
+    [out] = free_name(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(path, "").ranks.bytes.__getitem__
@@ -258,7 +264,10 @@ def _small(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[p
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per row of df: doc_id, n_tokens, and digests of the ids and of the bytes decoded from them. Null texts count as empty."""
+    """A row per row of df: doc_id, n_tokens, and digests of the ids and of the bytes decoded from them.
+
+    Null texts count as empty; repeated rows give a row each; no rows give none. Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)

@@ -19,7 +19,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import let, text_of
+from foliospark.llm.common import free_name, let, text_of
 
 # The base kinds, in the order of ties.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -169,14 +169,19 @@ def digest_of(spans: Column) -> Column:
 
 
 def with_spans(df: DataFrame, text: str = "text", base: str = "base_spans", spans: str = "secret_spans") -> DataFrame:
-    """df with two arrays of (start, rank, kind, end): the base spans, and all spans. Null and empty texts have none."""
+    """df with two arrays of (start, rank, kind, end): the base spans, and all spans. Null and empty texts have none. The two names must be new to df."""
+    if {base.lower(), spans.lower()} & {c.lower() for c in df.columns}:
+        raise ValueError(f"df has a column {base} or {spans} already; name others")
     t = text_of(text)
     both = let(base_spans(t), lambda b: F.struct(b.alias("base"), all_spans(b, random_spans(t)).alias("spans")))
     return df.withColumn(spans, both).withColumn(base, F.col(f"{spans}.base")).withColumn(spans, F.col(f"{spans}.spans"))
 
 
 def secret_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per row of df: doc_id, counts of the base kinds, base_sha256, spans."""
+    """A row per row of df: doc_id, counts of the base kinds, base_sha256, spans.
+
+    Null and empty texts have no spans; repeated rows give a row each; no rows give no rows. Other columns are ignored.
+    """
     count = lambda kind: F.size(F.filter("b", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     found = with_spans(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), base="b", spans="s")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(digest_of(F.col("b")), 256).alias("base_sha256"), digest_of(F.col("s")).alias("spans"))
@@ -197,8 +202,11 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """df with secrets replaced in its texts and, where that column exists, n_chars recounted for them. Null texts stay null."""
-    base, spans, new = "_base_spans", "_spans", "_redacted"
+    """df with secrets replaced in its texts and, where that column exists, n_chars recounted for them.
+
+    Null texts stay null; repeated rows and all other columns, whatever their names, stay as they are.
+    """
+    base, spans, new = free_name(df, "base_spans", "secret_spans", "redacted")
     out = with_spans(df, text, base, spans).withColumn(new, F.when(F.size(spans) > 0, redacted(F.col(text), F.col(spans))))
     changed = out.withColumn(text, F.coalesce(new, F.col(text)))
     if n_chars in df.columns:

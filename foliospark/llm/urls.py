@@ -91,7 +91,10 @@ def judge_urls(df: DataFrame, rules: list[UrlRule], url: str = "url", default: s
     has a null rule and the verdict `default`. Repeated rows give a row each.
     """
     host, path, rule, verdict = free_name(df, "host", "path", "rule", "verdict")
-    ordered = sorted(set(rules), key=lambda r: (len(r.name), len(r.host), r.verdict == "block", -rules.index(r)))  # a later one wins
+    given: dict[UrlRule, int] = {}
+    for k, r in enumerate(rules):
+        given.setdefault(r, k)
+    ordered = sorted(given, key=lambda r: (len(r.name), len(r.host), r.verdict == "block", -given[r]))  # a later one wins
     rank = {r: k for k, r in enumerate(ordered)}
 
     def one_pass(chunk: list[UrlRule], first: bool):
