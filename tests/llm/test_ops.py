@@ -379,6 +379,44 @@ def test_chat_against_brute_force(spark, span, history):
     assert chat.read_back(chat.windows(df.limit(0))).count() == 0
 
 
+def whole_windows(turns, span, history):
+    """(window, context, new) of one conversation by the plain rule, over all its turns at once."""
+    placed, at = [], 0
+    for role, text in turns:
+        tok = -(-len(text) // 4) + 4
+        placed.append((at, tok, role, text))
+        at += tok
+    out = []
+    for w in sorted({x[0] // span for x in placed}):
+        new = [x for x in placed if x[0] // span == w]
+        before = [x for x in placed if out and x[0] // span == out[-1][0]]
+        lead = [x for x in placed[:1] if out and x[2] == "system"]
+        kept = [x for x in before if new[0][0] - x[0] <= history and x not in placed[:1] * (placed[0][2] == "system")]
+        out.append((w, [x[2:] for x in lead + kept], [x[2:] for x in new]))
+    return out
+
+
+@pytest.mark.parametrize("segment", [1, 3, 64])
+def test_chat_windows_against_plain_rule(spark, monkeypatch, segment):
+    """Long conversations, cut into segments, have the windows that they would have whole; broadcast or joined."""
+    monkeypatch.setattr(chat, "BROADCAST_PLACES", 0 if segment == 3 else 200_000)
+    rng = random.Random(segment)
+    rows = [(c, t * 300 - 5000, "system" if not t and c % 2 else rng.choice(["user", "assistant"]), words(rng.randint(0, 90), c * 1000 + t)) for c in range(4) for t in range((1, 40, 400, 7)[c])]
+    made = chat.windows(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), span_tokens=100, history_tokens=40, segment_windows=segment).collect()
+    for c in range(4):
+        got = [(r.window, chat.parse_window(r.text)[: r.n_context], chat.parse_window(r.text)[r.n_context :]) for r in sorted(made, key=lambda r: r.window) if r.conv_id == c]
+        assert got == whole_windows([(r, x) for k, _, r, x in rows if k == c], 100, 40)
+    last = {r.conv_id: r.window for r in made if r.last}
+    assert all(last[c] == max(r.window for r in made if r.conv_id == c) for c in range(4)) and sum(r.last for r in made) == 4
+
+
+def test_chat_read_back_from_scattered_windows(spark):
+    rows = [(c, t, "assistant", words(60, c * 50 + t)) for c in range(5) for t in range(20)]
+    made = chat.windows(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), span_tokens=100, history_tokens=40)
+    scattered = spark.createDataFrame(random.Random(1).sample(made.collect(), made.count()), made.schema).repartition(3)
+    assert {r.conv_id: tuple(r)[1:5] for r in chat.read_back(scattered).collect()} == conversation_digests(rows)
+
+
 def test_chat_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -534,10 +572,9 @@ def test_urls(spark, monkeypatch, per_pass):
 # ---- 8 ----
 
 
-@pytest.mark.parametrize("tile,leaf", [(4096, 256), (16, 4)])
-def test_embeddings_against_brute_force(spark, sf, monkeypatch, tile, leaf):
-    monkeypatch.setattr(embeddings, "TILE", tile)
-    monkeypatch.setattr(embeddings, "LEAF", leaf)
+@pytest.mark.parametrize("strip", [4096, 16])
+def test_embeddings_against_brute_force(spark, sf, monkeypatch, strip):
+    monkeypatch.setattr(embeddings, "LEAST_STRIP", strip)
     rng = np.random.default_rng(1)
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     base = rng.normal(size=(6, 64))
@@ -562,6 +599,27 @@ def test_embeddings_against_brute_force(spark, sf, monkeypatch, tile, leaf):
     assert {r.n_links for r in embeddings.near_vectors(df.where("vec_id in (3000, 3001)")).collect()} == {0}
 
 
+def test_intervals_against_brute_force(monkeypatch):
+    monkeypatch.setattr(embeddings, "LEAF", 4)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(8, 16)), np.repeat(rng.normal(size=(3, 16)), 20, axis=0) + rng.normal(size=(60, 16)) * 0.1])
+    unit = embeddings._unit(x)
+    grid = embeddings.Grid(np.linalg.qr(rng.normal(size=(16, 6)))[0], math.sqrt(0.1) + 1e-9)
+    whole = embeddings._Side(np.arange(68), np.ones(68, np.int64), x, grid)
+    want = {(i, j) for i in range(68) for j in range(i + 1, 68) if unit[i] @ unit[j] >= 0.95}
+    got = {tuple(sorted((int(whole.ids[i]), int(whole.ids[j])))) for p, q in embeddings.join_intervals(whole, whole, True, 0.95, grid.eps) for i, j in zip(p, q)}
+    assert got == want and len(want) > 50
+    parts = [embeddings._Side(np.arange(68)[k::2], np.ones(34, np.int64), x[k::2], grid) for k in (0, 1)]
+    got = {tuple(sorted((int(parts[0].ids[i]), int(parts[1].ids[j])))) for p, q in embeddings.join_intervals(*parts, False, 0.95, grid.eps) for i, j in zip(p, q)}
+    assert got == {p for p in want if (p[0] + p[1]) % 2}
+
+
+def test_embeddings_of_any_magnitude(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e190]), (2, [1e-200, 0.0]), (3, [5e-324, 0.0]), (4, [0.0, 1.7e308]), (5, [-1e300, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4), 5: (0, 5)}
+
+
 def test_embeddings_of_several_widths(spark):
     """Equal and near vectors link within every length; lengths never mix."""
     rng = np.random.default_rng(6)
