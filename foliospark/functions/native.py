@@ -84,11 +84,12 @@ def curve(a: Column, b: Column, c: Column, d: Column, steps: int = 12) -> Column
 
 
 def text_width(text: Column, font: str = "Helvetica", size: float = 12.0) -> Column:
-    """Width of the printable ASCII of a text."""
-    table = F.lit([int(w) for w in fonts.widths(font)])
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
-    known = F.filter(codes, lambda k: (k >= 32) & (k < 127))
-    return F.aggregate(known, F.lit(0).cast("long"), lambda s, k: s + F.get(table, k)) * F.lit(size) / 1000
+    """Width of the WinAnsi characters of a text; others have none."""
+    width = {c: fonts.widths(font)[code[0]] for k in range(32, 0x2123) if (code := fonts.encode(c := chr(k)))}
+    low = F.lit([int(width.get(chr(k), 0)) for k in range(256)])
+    high = F.create_map(*(F.lit(x) for c, w in width.items() if ord(c) > 255 for x in (c, int(w))))
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.aggregate(letters, F.lit(0).cast("long"), lambda s, c: s + F.when(c < "\u0100", F.get(low, F.ascii(c))).otherwise(F.coalesce(F.try_element_at(high, c), F.lit(0)))) * F.lit(size) / 1000
 
 
 def column_widths(percents: Column, width: Column) -> Column:
@@ -181,6 +182,32 @@ def qr_version(content: Column, level: str = "M") -> Column:
     return out
 
 
+# ---- arrays: items by place, and arrays with items added, set or taken out ----
+
+
+def item(values: Column, k: Column) -> Column:
+    """The item at a place from 0; null out of range."""
+    return F.when(k >= 0, F.get(values, k))
+
+
+def appended(values: Column, x: Column) -> Column:
+    return F.array_append(values, x)
+
+
+def inserted(values: Column, k: Column, x: Column) -> Column:
+    return F.concat(F.slice(values, F.lit(1), k), F.array(x), F.slice(values, k + 1, F.size(values)))
+
+
+def replaced(values: Column, k: Column, x: Column) -> Column:
+    return F.transform(values, lambda v, i: F.when(i == k, x).otherwise(v))
+
+
+def without_first(values: Column, x: Column) -> Column:
+    """Without the first item that equals x."""
+    at = F.array_position(values, x)
+    return F.when(at > 0, F.filter(values, lambda v, i: i + 1 != at)).otherwise(values)
+
+
 # ---- hashes and codecs ----
 
 

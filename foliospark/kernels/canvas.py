@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 from typing import Any
 
-from foliospark.kernels import fonts
+from foliospark.kernels import barcode, fonts, qr
 from foliospark.kernels.objects import Name, PdfString, Ref, Stream, text_string
 from foliospark.kernels.writer import Builder, box_array, name_bytes, number_bytes, string_bytes
 
@@ -193,6 +194,28 @@ class Canvas:
         return self.target.add(Stream({"Type": Name("XObject"), "Subtype": Name("Form"), "BBox": box_array(box), "Resources": self.resources}, bytes(self.out)))
 
 
+def modules_form(target: Builder, rows: list[str], left: int, right: int, above: int, height: float = 1, gray: float = 0) -> Ref:
+    """A form of the dark modules of rows of 0 and 1, one unit to a module, with its quiet zone within the box."""
+    w, h = len(rows[0]) + left + right, len(rows) * height + 2 * above
+    c = Canvas(target)
+    c.fill_color(gray)
+    for k, row in enumerate(rows):
+        for run in re.finditer("1+", row):
+            c.rectangle(run.start() + left, h - above - (k + 1) * height, len(run[0]), height)
+    return c.fill().as_form((0, 0, w, h))
+
+
+def qr_form(target: Builder, content: str, level: str = "M", gray: float = 0) -> Ref:
+    """A QR code with its quiet zone of four modules."""
+    return modules_form(target, qr.rows(content, level), 4, 4, 4, 1, gray)
+
+
+def barcode_form(target: Builder, content: str, kind: str, height: float = 50, gray: float = 0) -> Ref:
+    """A linear barcode with its quiet zones."""
+    left, right = barcode.QUIET.get(kind, (10, 10))
+    return modules_form(target, [barcode.encode(content, kind)], left, right, 0, height, gray)
+
+
 def layer(target: Builder, name: str, visible: bool = True) -> Ref:
     """An optional-content group, listed in the catalog."""
     group = target.add({"Type": Name("OCG"), "Name": text_string(name)})
@@ -223,23 +246,26 @@ def link_annotation(box: tuple, uri: str) -> dict:
 
 def wrap(text: str, width: float, font: str = "Helvetica", size: float = 12) -> list[str]:
     """Greedy lines: words by single spaces, a word too wide alone is split by character. Each \\n ends a line."""
-    measure = lambda s: fonts.text_width(s, font, size)
+    table, blank = fonts.widths(font), fonts.widths(font)[32]
+    measure = lambda s: sum(map(table.__getitem__, fonts.encode(s)))
+    room = width * 1000 / size + 1e-9 if size else math.inf
     out = []
     for paragraph in text.replace("\r\n", "\n").split("\n"):
-        line = ""
+        line, used = "", 0
         for word in paragraph.split(" "):
-            longer = f"{line} {word}" if line else word
-            if measure(longer) <= width:
-                line = longer
+            w = measure(word)
+            if used + (blank + w if line else w) <= room:
+                line, used = (f"{line} {word}", used + blank + w) if line else (word, w)
                 continue
             if line:
                 out.append(line)
-            line = ""
+            line, used = "", 0
             for c in word:
-                if line and measure(line + c) > width:
+                w = measure(c)
+                if line and used + w > room:
                     out.append(line)
-                    line = ""
-                line += c
+                    line, used = "", 0
+                line, used = line + c, used + w
         out.append(line)
     return out
 

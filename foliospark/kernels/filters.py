@@ -15,19 +15,26 @@ from foliospark.kernels.objects import Name, integer
 SHORT = {"A85": "ASCII85Decode", "AHx": "ASCIIHexDecode", "Fl": "FlateDecode", "LZW": "LZWDecode", "RL": "RunLengthDecode", "CCF": "CCITTFaxDecode", "DCT": "DCTDecode"}
 
 
-def flate_decode(data: bytes) -> bytes:
-    """zlib, else raw deflate; of a truncated or damaged stream what came out before."""
-    best = b""
-    for bits in (15, -15):
-        d = zlib.decompressobj(bits)
-        out = bytearray()
+def _inflated(data: bytes, bits: int) -> tuple[bytes, bool]:
+    """What inflates, up to the byte that is damaged, and whether all of it did."""
+    d, out = zlib.decompressobj(bits), bytearray()
+    for at in range(0, len(data), 1024):
+        before = d.copy()
         try:
-            for at in range(0, len(data), 1024):
-                out += d.decompress(data[at : at + 1024])
-            return bytes(out + d.flush())
+            out += d.decompress(data[at : at + 1024])
         except zlib.error:
-            best = max(best, bytes(out), key=len)
-    return best
+            for k in range(at, min(at + 1024, len(data))):
+                try:
+                    out += before.decompress(data[k : k + 1])
+                except zlib.error:
+                    return bytes(out), False
+    return bytes(out + d.flush()), True
+
+
+def flate_decode(data: bytes) -> bytes:
+    """zlib, else raw deflate; of a truncated or damaged stream what came out before, whatever its checksum."""
+    out, whole = _inflated(data, 15)
+    return out if whole else max(out, _inflated(data, -15)[0], key=len)
 
 
 def flate_encode(data: bytes) -> bytes:

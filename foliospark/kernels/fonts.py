@@ -21,37 +21,65 @@ ASCII_WIDTHS = {
     "Times-Roman": "250 333 408 500 500 833 778 180 333 333 500 564 250 333 250 278 500 500 500 500 500 500 500 500 500 500 278 278 564 564 564 444 921 722 667 667 722 611 556 722 722 333 389 722 611 889 722 722 556 722 667 556 611 722 722 944 722 722 611 333 278 333 469 500 333 444 500 444 500 444 333 500 500 278 278 500 278 778 500 500 500 500 333 389 278 500 500 722 500 500 444 480 200 480 541",
     "Times-Bold": "250 333 555 500 500 1000 833 278 333 333 500 570 250 333 250 278 500 500 500 500 500 500 500 500 500 500 333 333 570 570 570 500 930 722 667 722 722 667 611 778 778 389 500 778 667 944 722 778 611 778 722 556 667 722 722 1000 722 722 667 333 278 333 581 500 333 500 556 444 556 444 333 500 556 278 333 556 278 833 556 500 556 556 444 389 333 556 500 722 500 500 444 394 220 394 520",
 }
+# The same of two more families.
+ASCII_WIDTHS |= {
+    "Times-Italic": "250 333 420 500 500 833 778 214 333 333 500 675 250 333 250 278 500 500 500 500 500 500 500 500 500 500 333 333 675 675 675 500 920 611 611 667 722 611 611 722 722 333 444 667 556 833 667 722 611 722 611 500 556 722 611 833 611 556 556 389 278 389 422 500 333 500 500 444 500 444 278 500 500 278 278 444 278 722 500 500 500 500 389 389 278 500 444 667 444 444 389 400 275 400 541",
+    "Times-BoldItalic": "250 389 555 500 500 833 778 278 333 333 500 570 250 333 250 278 500 500 500 500 500 500 500 500 500 500 333 333 570 570 570 500 832 667 667 667 722 667 667 722 778 389 500 667 611 889 722 722 611 722 667 556 611 722 667 889 667 611 611 333 278 333 570 500 333 500 500 444 500 444 333 500 556 278 278 500 278 778 556 500 500 500 389 389 278 556 444 667 500 444 389 348 220 348 570",
+}
+# Advance widths of the WinAnsi codes 127 to 191; 0 where there is no glyph.
+SIGN_WIDTHS = {
+    "Helvetica": "0 556 0 222 556 333 1000 556 556 333 1000 667 333 1000 0 611 0 0 222 222 333 333 350 556 1000 333 1000 500 333 944 0 500 667 278 333 556 556 556 556 260 556 333 737 370 556 584 0 737 333 400 584 333 333 333 0 537 278 333 333 365 556 834 834 834 611",
+    "Helvetica-Bold": "0 556 0 278 556 500 1000 556 556 333 1000 667 333 1000 0 611 0 0 278 278 500 500 350 556 1000 333 1000 556 333 944 0 500 667 278 333 556 556 556 556 280 556 333 737 370 556 584 0 737 333 400 584 333 333 333 0 556 278 333 333 365 556 834 834 834 611",
+    "Times-Roman": "0 500 0 333 500 444 1000 500 500 333 1000 556 333 889 0 611 0 0 333 333 444 444 350 500 1000 333 980 389 333 722 0 444 722 250 333 500 500 500 500 200 500 333 760 276 500 564 0 760 333 400 564 300 300 333 0 453 250 333 300 310 500 750 750 750 444",
+    "Times-Bold": "0 500 0 333 500 500 1000 500 500 333 1000 556 333 1000 0 667 0 0 333 333 500 500 350 500 1000 333 1000 389 333 722 0 444 722 250 333 500 500 500 500 220 500 333 747 300 500 570 0 747 333 400 570 300 300 333 0 540 250 333 300 330 500 750 750 750 500",
+    "Times-Italic": "0 500 0 333 500 556 889 500 500 333 1000 500 333 944 0 556 0 0 333 333 556 556 350 500 889 333 980 389 333 667 0 389 556 250 389 500 500 500 500 275 500 333 760 276 500 675 0 760 333 400 675 300 300 333 0 523 250 333 300 310 500 750 750 750 500",
+    "Times-BoldItalic": "0 500 0 333 500 500 1000 500 500 333 1000 556 333 944 0 611 0 0 333 333 500 500 350 500 1000 333 1000 389 333 722 0 389 611 250 389 500 500 500 500 220 500 333 747 266 500 606 0 747 333 400 570 300 300 333 0 500 250 333 300 300 500 750 750 750 500",
+}
+# Æ, ß, æ and ø, which are as wide as no other letter.
+LETTER_WIDTHS = {"Helvetica": (1000, 611, 889, 611), "Helvetica-Bold": (1000, 611, 889, 611), "Times-Roman": (889, 500, 667, 500), "Times-Bold": (1000, 556, 722, 500), "Times-Italic": (889, 500, 667, 500), "Times-BoldItalic": (944, 500, 722, 500)}
+#: Letters as wide as another that no decomposition tells.
+AS_WIDE_AS = {"Ð": "D", "Ø": "O", "Þ": "P", "ð": "o", "þ": "p", "×": "+", "÷": "+"}
+#: Width of the accented forms of i.
+ACCENTED_I = 278
+# What the two symbol fonts have of WinAnsi, by code.
+SYMBOLS = {
+    "Symbol": {32: 250, 33: 333, 35: 500, 37: 833, 38: 778, 40: 333, 41: 333, 43: 549, 44: 250, 46: 250, 47: 278, **dict.fromkeys(range(48, 58), 500), 58: 278, 59: 278, 60: 549, 61: 549, 62: 549, 63: 444, 91: 333, 93: 333, 95: 500, 123: 480, 124: 200, 125: 480, 128: 750, 131: 500, 133: 1000, 149: 460, 160: 250, 172: 713, 176: 400, 177: 549, 215: 549, 247: 549},
+    "ZapfDingbats": {32: 278, 160: 278},
+}
+#: Codes that WinAnsi leaves out.
+UNASSIGNED = (127, 129, 141, 143, 144, 157)
 # Ascender and descender.
-VERTICAL = {"Helvetica": (718, -207), "Helvetica-Bold": (718, -207), "Times-Roman": (683, -217), "Times-Bold": (683, -217), "Courier": (629, -157)}
-#: Fonts that share a table; a font whose metrics differ is read from an AFM file by with_afm().
+VERTICAL = {"Helvetica": (718, -207), "Helvetica-Bold": (718, -207), "Times-Roman": (683, -217), "Times-Bold": (683, -217), "Times-Italic": (683, -217), "Times-BoldItalic": (683, -217), "Courier": (629, -157), "Symbol": (800, -200), "ZapfDingbats": (800, -200)}
+#: Fonts that share a table.
 SAME = {"Helvetica-Oblique": "Helvetica", "Helvetica-BoldOblique": "Helvetica-Bold", "Courier-Bold": "Courier", "Courier-Oblique": "Courier", "Courier-BoldOblique": "Courier"}
+STANDARD = (*ASCII_WIDTHS, *SYMBOLS, "Courier", *SAME)
 _loaded: dict[str, dict[int, int]] = {}
 
 
 def with_afm(name: str, text: str) -> None:
-    """Registers the widths of an AFM file, by code."""
+    """Registers the widths of an AFM file, by code, under a name of its own or a standard one."""
     _loaded[name] = {int(c): int(float(w)) for c, w in re.findall(r"^C\s+(\d+)\s*;\s*WX\s+([\d.]+)", text, re.M)}
     widths.cache_clear()
 
 
 @lru_cache(maxsize=32)
 def widths(name: str) -> tuple[int, ...]:
-    """Widths of the WinAnsi codes 0 to 255; an accented letter is as wide as its base letter, other signs by rule."""
-    name = SAME.get(name, name)
-    if name == "Courier":
-        return (0,) * 32 + (600,) * 224
+    """Widths of the WinAnsi codes 0 to 255; an accented letter is as wide as its base letter."""
     if name in _loaded:
         return tuple(_loaded[name].get(k, 0) for k in range(256))
+    name = SAME.get(name, name)
+    if name == "Courier":
+        return tuple(600 if k >= 32 and k not in UNASSIGNED else 0 for k in range(256))
+    if name in SYMBOLS:
+        return tuple(SYMBOLS[name].get(k, 0) for k in range(256))
     low = list(map(int, ASCII_WIDTHS[name].split()))
-    out = [0] * 32 + low + [0] * 129
-    for k in range(127, 256):
-        c = bytes([k]).decode("cp1252", "replace")
-        base = unicodedata.normalize("NFKD", c)[0]
-        if 32 <= ord(base) < 127:
-            out[k] = low[ord(base) - 32]
-        else:
-            out[k] = {"Æ": 1000, "æ": 889, "—": 1000, "…": 1000, "‰": 1000, "™": 1000, "Œ": 1000, "œ": 944}.get(c, 556)
-    return tuple(out)
+    own = dict(zip("Æßæø", LETTER_WIDTHS[name])) | dict.fromkeys("ìíîï", ACCENTED_I)
+
+    def letter(c: str) -> int:
+        base = AS_WIDE_AS.get(c) or unicodedata.normalize("NFKD", c)[0]
+        return own[c] if c in own else low[ord(base) - 32]
+
+    return (*(0,) * 32, *low, *map(int, SIGN_WIDTHS[name].split()), *(letter(chr(k)) for k in range(192, 256)))
 
 
 def encode(text: str) -> bytes:
@@ -90,6 +118,9 @@ class TrueType:
         hmtx = self._at("hmtx")
         self.advances = [struct.unpack_from(">H", data, hmtx + 4 * k)[0] for k in range(n_metrics)] or [0]
         self.n_glyphs = struct.unpack_from(">H", data, self._at("maxp") + 4)[0] if "maxp" in self.tables else n_metrics
+        # The Windows ascent and descent, which layout takes where the font has them.
+        at, size = self.tables.get("OS/2", (0, 0))
+        self.win = struct.unpack_from(">HH", data, at + 74) if size >= 78 else (0, 0)
         self.codes = self._cmap()
         self.name = self._name()
 
@@ -159,6 +190,13 @@ class TrueType:
     def width(self, glyph: int) -> int:
         return round(self.advances[min(glyph, len(self.advances) - 1)] * 1000 / self.units)
 
+    def vertical(self, size: float) -> tuple[float, float]:
+        """Ascender and descender of a line: the Windows metrics, else the font's own and a fifth."""
+        scale = lambda v: round(v * 1000 / self.units)
+        a = scale(self.win[0]) if self.win[0] else scale(self.ascent) * LINE
+        d = -scale(self.win[1]) if self.win[1] else scale(self.descent) * LINE
+        return a * size / 1000, d * size / 1000
+
     def text_width(self, text: str, size: float) -> float:
         return sum(self.width(self.codes.get(ord(c), 0)) for c in text) * size / 1000
 

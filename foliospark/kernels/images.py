@@ -98,9 +98,15 @@ def replace_image(target: Builder, ref: Ref, data: bytes) -> None:
     target.put(ref, target.get(image(target, data)))
 
 
-# Extensions by the last filter.
+# Extensions by filter.
 EXTENSIONS = {"DCTDecode": "jpg", "JPXDecode": "jp2", "CCITTFaxDecode": "tif", "JBIG2Decode": "jbig2"}
 
 
 def extension(names: list[str]) -> str:
-    return EXTENSIONS.get(names[-1] if names else "", "png" if not names or names[-1] in filters.DECODERS else "bin")
+    return next((EXTENSIONS[n] for n in names if n in EXTENSIONS), "raw")
+
+
+def payload(raw: bytes, filters_of: list[tuple[str, dict]]) -> bytes:
+    """The stored image without the wrapping that can be undone: pixels, or the bytes of an image codec as they are."""
+    whole = filters.decode(raw, filters_of)
+    return raw if whole is None else whole

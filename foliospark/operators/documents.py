@@ -12,10 +12,11 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.kernels import filters, inspect
+from foliospark.kernels import filters, images, inspect
 from foliospark.kernels.content import Interpreter, layer_name
 from foliospark.kernels.document import Document, Page
-from foliospark.kernels.objects import Name, PdfString, Ref, Stream
+from foliospark.kernels.importer import structural_hash
+from foliospark.kernels.objects import Name, PdfString, Ref, Stream, integer
 from foliospark.kernels.syntax import END, Reader
 from foliospark.kernels.writer import value_bytes
 from foliospark.operators.rows import kernel
@@ -65,7 +66,7 @@ def _table(df: DataFrame, schema: str, rows) -> DataFrame:
             return
         try:
             yield from ((doc_id, *r) for r in rows(d))
-        except Exception:  # noqa: BLE001 - pdf_docs has the error
+        except Exception:  # noqa: BLE001 - the rows before it stand; content_errors() has the error
             return
 
     return kernel(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, {schema}", ["doc_id", "content"])
@@ -120,6 +121,19 @@ def cos_objects(df: DataFrame) -> DataFrame:
     return _table(df, "obj_num int, kind string, value_json string, raw binary, filters array<string>", rows)
 
 
+def structural_hashes(df: DataFrame) -> DataFrame:
+    """A hash of every stream and what it refers to, equal for equal graphs in whatever document; null for a graph with a cycle. Grouping by it finds what a merge would keep once."""
+
+    def rows(d: Document):
+        memo: dict = {}
+        for num in sorted(d.entries):
+            x = d.object(num)
+            if isinstance(x, Stream):
+                yield num, structural_hash(Ref(num), d.get, memo), len(x.raw)
+
+    return _table(df, "obj_num int, hash string, n_bytes bigint", rows)
+
+
 def _edges(x: Any, path: str) -> Iterator[tuple[str, int]]:
     if isinstance(x, Ref):
         yield path, x.num
@@ -249,6 +263,33 @@ def invisible_text(events: DataFrame) -> DataFrame:
     return events.where((F.col("kind") == "text") & (F.col("render_mode") == 3))
 
 
+def content_errors(df: DataFrame) -> DataFrame:
+    """A row for each document or page whose content can't be read to its end, and for each content stream that no filter here decodes."""
+
+    def run(doc_id, content):
+        d = _open(content)
+        try:
+            pages = d.pages() if d else []
+        except Exception as e:  # noqa: BLE001
+            d, pages = None, []
+            yield doc_id, 0, f"{type(e).__name__}: {e}"[:200]
+        else:
+            if d is None:
+                yield doc_id, 0, "unreadable"
+        for k, p in enumerate(pages, 1):
+            c = d.get(p.dict.get("Contents"))
+            for x in c if isinstance(c, list) else [c]:
+                s = d.get(x)
+                if isinstance(s, Stream) and d.decoded(s) is None:
+                    yield doc_id, k, "unsupported filter"
+            try:
+                Interpreter(d).page(p)
+            except Exception as e:  # noqa: BLE001
+                yield doc_id, k, f"{type(e).__name__}: {e}"[:200]
+
+    return kernel(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, page_no int, error string", ["doc_id", "content"])
+
+
 def spot_colors(df: DataFrame) -> DataFrame:
     return _table(df, "page_no int, spot string", lambda d: ((k, s) for k, p in enumerate(d.pages(), 1) for s in sorted(inspect.page_spots(p))))
 
@@ -267,6 +308,19 @@ def fonts(df: DataFrame) -> DataFrame:
     return _table(df, "page_no int, font string, is_embedded boolean", lambda d: ((k, *f) for k, p in enumerate(d.pages(), 1) for f in inspect.page_fonts(p)))
 
 
+def image_payloads(df: DataFrame) -> DataFrame:
+    """Every image object: its size, the extension of a file that could hold it, and its bytes (pixels where the filters can be undone)."""
+
+    def rows(d: Document):
+        for num in sorted(d.entries):
+            x = d.object(num)
+            if isinstance(x, Stream) and x.dict.get("Subtype") == "Image":
+                chain = filters.chain(x.dict, d.get)
+                yield num, integer(d.get(x.dict.get("Width"))), integer(d.get(x.dict.get("Height"))), images.extension([n for n, _ in chain]), images.payload(x.raw, chain)
+
+    return _table(df, "obj_num int, width int, height int, extension string, payload binary", rows)
+
+
 def layers(df: DataFrame) -> DataFrame:
     """(page, property name, layer name) of the layers that pages use."""
 

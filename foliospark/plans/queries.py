@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import itertools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +13,16 @@ from pyspark.sql import functions as F
 from foliospark.functions import native as N
 from foliospark.functions import udfs as U
 from foliospark.kernels import canvas as K
-from foliospark.kernels import filters, fonts, qr
+from foliospark.kernels import barcode, filters, fonts, qr
 from foliospark.kernels.cmap import ToUnicode, to_unicode_bytes
 from foliospark.kernels.objects import Name, Stream
 from foliospark.kernels.writer import Builder
 from foliospark.operators import build as B
 from foliospark.operators import documents as D
 from foliospark.operators.rows import kernel, spread
-from foliospark.session import kept
+from foliospark.plans import golden
+from foliospark.session import kept, shared_folder
+from foliospark.sources import pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, tuple[Query, str | None]] = {}
@@ -61,7 +65,7 @@ def line_documents(spark, sf) -> DataFrame:
     return kept(spark, f"lines {sf}", lambda: _line_documents(spark, sf))
 
 
-def _line_documents(spark, sf) -> DataFrame:
+def _line_documents(spark, sf, where=None) -> DataFrame:
     def run(order, line, quantity, flag):
         b = Builder()
         layer = K.layer(b, flag)
@@ -70,7 +74,8 @@ def _line_documents(spark, sf) -> DataFrame:
         c.page()
         yield order, line, b.save()
 
-    return kernel(dealt(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), run, "l_orderkey bigint, l_linenumber int, content binary")
+    rows = dealt(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    return kernel(rows if where is None else rows.where(where), run, "l_orderkey bigint, l_linenumber int, content binary")
 
 
 def part_documents(spark, sf) -> DataFrame:
@@ -189,7 +194,7 @@ def form_nup(spark, sf):
     return e.groupBy("doc_id").agg(F.countDistinct("page_no").alias("sheets"), F.count("*").alias("texts"))
 
 
-@query("SELECT l_orderkey AS doc_id, count(*)::BIGINT AS reached, count(*)::BIGINT AS objects FROM (SELECT l_orderkey, unnest(range(3 + 2 * count(*) + 2 * (count(DISTINCT l_linenumber) - count(DISTINCT l_linenumber)))) FROM lineitem GROUP BY 1) GROUP BY 1")
+@query("SELECT l_orderkey AS doc_id, (3 + 2 * count(*))::BIGINT AS reached, (3 + 2 * count(*))::BIGINT AS objects FROM lineitem GROUP BY 1")
 def reachable_objects(spark, sf):
     """A page per line item, no layers: catalog, tree, and a page and its own content each; the fonts are direct. One dead object is dropped by the sink."""
 
@@ -386,11 +391,14 @@ def resolved_references(spark, sf):
 # ---- dedup and codecs ----
 
 
-@query("SELECT count(DISTINCT sha256(text))::BIGINT AS streams, count(*)::BIGINT AS documents FROM documents")
+@query("SELECT count(DISTINCT p_size)::BIGINT AS pictures, count(*)::BIGINT AS documents FROM part")
 def dedup_streams(spark, sf):
-    h = N.content_hash(F.encode("text", "UTF-8"))
-    first = table(spark, sf, "documents").groupBy(h.alias("hash")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    return first.agg(F.count("*").alias("streams"), F.sum("n").alias("documents"))
+    """Images of all documents by the hash of their structure: those of one size are one."""
+    docs = part_documents(spark, sf)
+    images = D.image_payloads(docs).select("doc_id", "obj_num")
+    h = D.structural_hashes(docs).join(images, ["doc_id", "obj_num"])
+    first = h.groupBy("hash").agg(F.count("*").alias("n"))
+    return first.agg(F.count("*").alias("pictures"), F.sum("n").alias("documents"))
 
 
 @query("SELECT l_orderkey AS doc_id, count(DISTINCT l_linenumber || ' ' || l_quantity)::BIGINT AS contents FROM lineitem GROUP BY 1")
@@ -424,7 +432,18 @@ def a85_codec(spark, sf):
 
 @query(CODEC)
 def rle_codec(spark, sf):
-    return _codec(spark, sf, lambda raw: b"".join(bytes([len(raw[k : k + 128]) - 1]) + raw[k : k + 128] for k in range(0, len(raw), 128)) + b"\x80", ["RunLengthDecode"])
+    """Runs of equal bytes as repeats, the rest as literals of one byte."""
+
+    def encode(raw):
+        out = bytearray()
+        for value, run in itertools.groupby(raw):
+            n = len(list(run))
+            for at in range(0, n, 128):
+                m = min(128, n - at)
+                out += bytes([257 - m, value]) if m > 1 else bytes([0, value])
+        return bytes(out) + b"\x80"
+
+    return _codec(spark, sf, encode, ["RunLengthDecode"])
 
 
 @query(CODEC)
@@ -458,12 +477,12 @@ def to_unicode_decode(spark, sf):
 # ---- geometry, text, layout ----
 
 
-@query("SELECT p_partkey AS id, (2 * p_size)::DOUBLE AS a, (3 * p_retailprice)::DOUBLE AS d, round(2 * 7 + p_size, 6)::DOUBLE AS x, round(3 * 11 + p_retailprice, 6)::DOUBLE AS y, p_size >= 20 AS inside FROM part")
+@query("SELECT p_partkey AS id, (2 * p_size)::DOUBLE AS a, (3 * p_retailprice)::DOUBLE AS d, round(2 * 7 + p_size, 6)::DOUBLE AS x, round(3 * 11 + p_retailprice, 6)::DOUBLE AS y, (p_retailprice % 40) BETWEEN least(p_size, 20) AND greatest(p_size, 20) AS inside FROM part")
 def matrix_algebra(spark, sf):
     m = N.multiply(N.scale(F.col("p_size"), F.col("p_retailprice")), N.scale(2, 3))
     at = N.transform_point(N.multiply(N.scale(2, 3), N.translate(F.col("p_size"), F.col("p_retailprice"))), F.lit(7.0), F.lit(11.0))
     box = N.rectangle(F.col("p_size"), F.lit(0), F.lit(20), F.lit(10))
-    inside = N.contains(box, F.lit(20), F.lit(5)) & (F.col("p_size") >= 20)
+    inside = N.contains(box, F.col("p_retailprice") % 40, F.lit(5))
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), m["a"].alias("a"), m["d"].alias("d"), F.round(at["x"], 6).alias("x"), F.round(at["y"], 6).alias("y"), inside.alias("inside"))
 
 
@@ -473,6 +492,16 @@ def bezier_points(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.round(F.aggregate(p, F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.size(p).alias("n"))
 
 
+ACCENTED = "Àé—…ß€ Ωx"
+
+
+@query("SELECT p_partkey AS id, (667 + 556 + 1000 + 1000 + 611 + 556 + 278 + 0 + 500) * p_size / 1000.0::DOUBLE AS helvetica, (722 + 444 + 1000 + 1000 + 500 + 500 + 250 + 0 + 500) * 12.0 / 1000::DOUBLE AS times, 278 * 12.0 / 1000::DOUBLE AS zapf FROM part")
+def text_width_accented(spark, sf):
+    """Letters, signs and what WinAnsi lacks, in three fonts."""
+    text = F.lit(ACCENTED)
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (N.text_width(text, "Helvetica", 1.0) * F.col("p_size")).alias("helvetica"), N.text_width(text, "Times-Roman").alias("times"), N.text_width(text, "ZapfDingbats").alias("zapf"))
+
+
 WIDTHS = "[" + ", ".join(map(str, fonts.widths("Helvetica")[32:127])) + "]"
 
 
@@ -481,16 +510,22 @@ def text_width(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.round(N.text_width(F.col("p_name")), 6).alias("width"))
 
 
-@query("SELECT doc_id, true AS fits, true AS same_words FROM documents")
+@query(
+    """WITH RECURSIVE words AS (
+         SELECT p_partkey AS id, string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ') AS w FROM part
+       ), steps AS (
+         SELECT id, w, 1 AS k, '' AS line, 0 AS lines FROM words
+         UNION ALL
+         SELECT id, w, k + 1, CASE WHEN line = '' THEN w[k] WHEN length(line) + 1 + length(w[k]) <= 16 THEN line || ' ' || w[k] ELSE w[k] END,
+                lines + CASE WHEN line <> '' AND length(line) + 1 + length(w[k]) > 16 THEN 1 ELSE 0 END
+         FROM steps WHERE k <= len(w)
+       ) SELECT id, (lines + 1)::INTEGER AS n_lines, line AS last FROM steps WHERE k = len(w) + 1"""
+)
 def wrap_courier(spark, sf):
-    """Lines no wider than the box, and no character lost."""
-
-    def run(key, text):
-        lines = K.wrap(text, 300.0, "Courier", 10)
-        fits = all(fonts.text_width(x, "Courier", 10) <= 300 for x in lines)
-        yield key, fits, "".join(lines).replace(" ", "") == text.replace("\r\n", "\n").replace("\n", "").replace(" ", "")
-
-    return kernel(dealt(spark, sf, "documents", "doc_id", "text"), run, "doc_id bigint, fits boolean, same_words boolean")
+    """Lines of 16 letters: words go to the next line where they don't fit."""
+    rows = dealt(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_brand")
+    lines = U.wrapped_lines(F.concat_ws(" ", "p_name", "p_type", "p_brand"), 96.0, "Courier", 10)
+    return rows.select(F.col("p_partkey").alias("id"), lines.alias("x")).select("id", F.size("x").alias("n_lines"), F.element_at("x", -1).alias("last"))
 
 
 @query("SELECT p_partkey AS id, round(540.0 * p_size / (p_size + 30.0), 6)::DOUBLE AS first, round(540.0 * 10 / (p_size + 30.0), 6)::DOUBLE AS second FROM part")
@@ -518,41 +553,67 @@ def table_pagination(spark, sf):
 
 # ---- barcodes ----
 
-CHECK = "((10 - list_sum([CAST(substr(lpad(p_partkey::VARCHAR, 12, '0'), k, 1) AS INTEGER) * CASE WHEN k % 2 = 0 THEN 3 ELSE 1 END for k in range(1, 13)]) % 10) % 10)::INTEGER"
+EAN_SQL = "[" + ", ".join(f"'{x}'" for x in barcode.EAN_L) + "]"
+PARITY_SQL = "[" + ", ".join(f"'{x}'" for x in barcode.EAN_PARITY) + "]"
+CODE39_SQL = "[" + ", ".join(f"'{x}'" for x in barcode.CODE39.values()) + "]"
+CODE128_SQL = "[" + ", ".join(f"'{x}'" for x in barcode.CODE128) + "]"
+ITF_SQL = "[" + ", ".join(f"'{x}'" for x in barcode.ITF) + "]"
+
 
+def ean_sql(digits: str, more: str = "") -> str:
+    """Bars of 12 digits, by the tables of the odd codes and of the sides."""
+    return f"""WITH d AS (SELECT p_partkey AS id, {digits} AS d FROM part), c AS (
+        SELECT id, d, (10 - list_sum([substr(d, k, 1)::INTEGER * CASE WHEN k % 2 = 0 THEN 3 ELSE 1 END for k in range(1, 13)]) % 10) % 10 AS c FROM d), w AS (
+        SELECT id, c, d || c AS w, {PARITY_SQL}[substr(d, 1, 1)::INTEGER + 1] AS p FROM c)
+        SELECT id, c::INTEGER AS check_digit, '101' || array_to_string([CASE WHEN substr(p, k - 1, 1) = 'L' THEN {EAN_SQL}[substr(w, k, 1)::INTEGER + 1] ELSE reverse(translate({EAN_SQL}[substr(w, k, 1)::INTEGER + 1], '01', '10')) END for k in range(2, 8)], '')
+        || '01010' || array_to_string([translate({EAN_SQL}[substr(w, k, 1)::INTEGER + 1], '01', '10') for k in range(8, 14)], '') || '101' AS modules{more} FROM w"""
 
-@query(f"SELECT p_partkey AS id, {CHECK} AS check_digit, 95::INTEGER AS modules, 30::INTEGER AS bars, true AS same FROM part")
+
+@query(ean_sql("(p_partkey % 10) || lpad(p_partkey::VARCHAR, 11, '0')", ", true AS same"))
 def ean13(spark, sf):
-    digits = F.lpad(F.col("p_partkey").cast("string"), 12, "0")
+    """Every first digit, so every pattern of sides."""
+    digits = F.concat((F.col("p_partkey") % 10).cast("string"), F.lpad(F.col("p_partkey").cast("string"), 11, "0"))
     m = N.ean13(digits)
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), N.ean_check(digits).alias("check_digit"), F.length(m).alias("modules"), N.bar_count(m).alias("bars"), (m == U.barcode_modules(digits, "ean13")).alias("same"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), N.ean_check(digits).alias("check_digit"), m.alias("modules"), (m == U.barcode_modules(digits, "ean13")).alias("same"))
 
 
-@query("SELECT p_partkey AS id, 95::INTEGER AS modules, true AS same FROM part")
+@query(ean_sql("'0' || lpad(p_partkey::VARCHAR, 11, '0')"))
 def upca(spark, sf):
     digits = F.lpad(F.col("p_partkey").cast("string"), 11, "0")
-    m = N.upca(digits)
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.length(m).alias("modules"), (m == U.barcode_modules(digits, "upca")).alias("same"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), N.ean_check(F.concat(F.lit("0"), digits)).alias("check_digit"), U.barcode_modules(digits, "upca").alias("modules"))
 
 
-@query("SELECT p_partkey AS id, (16 * (length(p_brand) + 2) - 1)::INTEGER AS modules, true AS same, list_sum([instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ-. $/+%*', upper(c)) - 1 for c in string_split(replace(p_brand, '#', '-'), '')])::INTEGER % 43 AS check_value FROM part")
+@query(
+    f"""WITH t AS (SELECT p_partkey AS id, upper(replace(p_brand, '#', '-')) AS t FROM part), n AS (
+        SELECT id, [instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ-. $/+%*', c) for c in string_split('*' || t || '*', '')] AS n, t FROM t)
+        SELECT id, array_to_string([array_to_string([repeat(CASE WHEN k % 2 = 1 THEN '1' ELSE '0' END, CASE WHEN substr({CODE39_SQL}[x], k, 1) = 'w' THEN 3 ELSE 1 END) for k in range(1, 10)], '') for x in n], '0') AS modules, true AS same,
+        list_sum([instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ-. $/+%*', c) - 1 for c in string_split(t, '')])::INTEGER % 43 AS check_value FROM n"""
+)
 def code39(spark, sf):
     text = F.replace(F.col("p_brand"), F.lit("#"), F.lit("-"))
     m = N.code39(text)
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.length(m).alias("modules"), (m == U.barcode_modules(text, "code39")).alias("same"), N.code39_check(text).alias("check_value"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), m.alias("modules"), (m == U.barcode_modules(text, "code39")).alias("same"), N.code39_check(text).alias("check_value"))
 
 
-@query("SELECT p_partkey AS id, (9 * (length(p_partkey::VARCHAR) + length(p_partkey::VARCHAR) % 2) + 9)::INTEGER AS modules, true AS same FROM part")
+@query(
+    f"""WITH d AS (SELECT p_partkey AS id, CASE WHEN length(p_partkey::VARCHAR) % 2 = 1 THEN '0' ELSE '' END || p_partkey AS d FROM part)
+        SELECT id, '1010' || array_to_string([array_to_string([repeat('1', CASE WHEN substr({ITF_SQL}[substr(d, 2 * j - 1, 1)::INTEGER + 1], k, 1) = 'w' THEN 3 ELSE 1 END) || repeat('0', CASE WHEN substr({ITF_SQL}[substr(d, 2 * j, 1)::INTEGER + 1], k, 1) = 'w' THEN 3 ELSE 1 END) for k in range(1, 6)], '') for j in range(1, length(d) // 2 + 1)], '') || '11101' AS modules, true AS same FROM d"""
+)
 def itf(spark, sf):
     digits = F.col("p_partkey").cast("string")
     m = N.itf(digits)
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.length(m).alias("modules"), (m == U.barcode_modules(digits, "itf")).alias("same"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), m.alias("modules"), (m == U.barcode_modules(digits, "itf")).alias("same"))
 
 
-@query("SELECT p_partkey AS id, ((105 + list_sum([k * CAST(substr(lpad(p_partkey::VARCHAR, 12, '0'), 2 * k - 1, 2) AS INTEGER) for k in range(1, 7)])) % 103)::INTEGER AS check_value, 101::INTEGER AS modules FROM part")
+@query(
+    f"""WITH d AS (SELECT p_partkey AS id, lpad(p_partkey::VARCHAR, 12, '0') AS d FROM part), v AS (
+        SELECT id, [substr(d, 2 * k - 1, 2)::INTEGER for k in range(1, 7)] AS v FROM d), c AS (
+        SELECT id, v, ((105 + list_sum([k * v[k] for k in range(1, 7)])) % 103)::INTEGER AS c FROM v)
+        SELECT id, c AS check_value, array_to_string([array_to_string([repeat(CASE WHEN k % 2 = 1 THEN '1' ELSE '0' END, substr({CODE128_SQL}[x + 1], k, 1)::INTEGER) for k in range(1, length({CODE128_SQL}[x + 1]) + 1)], '') for x in [105] || v || [c, 106]], '') AS modules FROM c"""
+)
 def code128_digits(spark, sf):
     digits = F.lpad(F.col("p_partkey").cast("string"), 12, "0")
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), N.code128_check(digits).alias("check_value"), F.length(U.barcode_modules(digits, "code128")).alias("modules"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), N.code128_check(digits).alias("check_value"), U.barcode_modules(digits, "code128").alias("modules"))
 
 
 QR_CASE = " ".join(f"WHEN need <= {qr.data_codewords(v, 'M')} THEN {v}" for v in range(1, 41))
@@ -563,9 +624,86 @@ def qr_version(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), N.qr_version(F.col("p_name")).alias("version"))
 
 
-@query()
+@query("SELECT p_partkey AS id, p_name AS text FROM part UNION ALL SELECT -p_partkey, upper(p_name) FROM part UNION ALL SELECT p_partkey + 1000000000, p_partkey::VARCHAR || repeat('7', p_size::INTEGER * 8) FROM part")
 def qr_matrix(spark, sf):
-    return dealt(spark, sf, "part", "p_partkey", "p_name").select(F.col("p_partkey").alias("id"), U.qr_rows(F.col("p_name")).alias("rows"))
+    """Symbols of bytes, of letters and of digits, of several versions and all levels, read again by the specification's procedure."""
+    p = dealt(spark, sf, "part", "p_partkey", "p_name", "p_size")
+    key = F.col("p_partkey")
+    rows = p.select(key.alias("id"), F.col("p_name").alias("text"))
+    rows = rows.unionByName(p.select((-key).alias("id"), F.upper("p_name").alias("text")))
+    rows = rows.unionByName(p.select((key + 1000000000).alias("id"), F.concat(key.cast("string"), F.expr("repeat('7', p_size * 8)")).alias("text")))
+    blocks = lambda v, level: (qr._blocks[level][v - 1], qr._ec[level][v - 1])
+    return kernel(rows, lambda k, text: [(k, golden.read_qr(qr.rows(text, "LMQH"[k % 4]), blocks))], "id bigint, text string")
+
+
+@query(f"SELECT id, (17 + 4 * version + 8)::DOUBLE AS box, 0::BIGINT AS light FROM (SELECT id, CASE {QR_CASE} END AS version FROM (SELECT p_partkey AS id, ceil((ceil(length(p_partkey::VARCHAR) * 10 / 3.0)) / 8.0) + 3 AS need FROM part))")
+def qr_form(spark, sf):
+    """A QR form placed on a page: its box has the quiet zone, and its rectangles cover the dark modules."""
+
+    def draw(b: Builder, r: dict) -> None:
+        c = K.Canvas(b)
+        c.form(K.qr_form(b, str(r["p_partkey"])), 2, 0, 0, 2, 50, 50)
+        c.page()
+
+    docs = B.generate(dealt(spark, sf, "part", "p_partkey"), "p_partkey", draw)
+    box = D.cos_objects(docs).where("kind = 'stream' and value_json like '%BBox%'").select("doc_id", F.variant_get(F.parse_json("value_json"), "$.BBox[2]", "double").alias("box"))
+    area = F.aggregate("subpaths", F.lit(0.0), lambda s, p: s + (p["pts"][1]["x"] - p["pts"][0]["x"]) * (p["pts"][2]["y"] - p["pts"][1]["y"]))
+    drawn = D.render_events(docs).where("kind = 'path' and depth = 1").select("doc_id", area.alias("area"))
+    dark = kernel(dealt(spark, sf, "part", "p_partkey"), lambda k: [(k, float(sum(r.count("1") for r in qr.rows(str(k)))))], "doc_id bigint, dark double")
+    return box.join(drawn, "doc_id").join(dark, "doc_id").select(F.col("doc_id").alias("id"), "box", (F.col("area") - F.col("dark")).cast("bigint").alias("light"))
+
+
+@query("SELECT p_partkey AS id, 'jpg' AS extension, 'FFD8' AS payload, p_size * 20 AS width FROM part")
+def image_payload(spark, sf):
+    return D.image_payloads(part_documents(spark, sf)).select(F.col("doc_id").alias("id"), "extension", F.hex("payload").alias("payload"), "width")
+
+
+@query(
+    """SELECT p_partkey AS id, [1, p_size, 3][p_size % 5 + 1] AS item, [1, p_size, 3, 9] AS appended, [1, p_size] || [9] || [3] AS inserted, [1, 9, 3] AS replaced,
+       CASE WHEN p_size = 3 THEN [1, 3] ELSE [1, p_size] END AS removed FROM part"""
+)
+def array_edits(spark, sf):
+    """Items of an array by place, null out of range, and arrays with items added, set and taken out."""
+    size = F.col("p_size")
+    a = F.array(F.lit(1), size, F.lit(3))
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), N.item(a, size % 5).alias("item"), N.appended(a, F.lit(9)).alias("appended"), N.inserted(a, F.lit(2), F.lit(9)).alias("inserted"),
+        N.replaced(a, F.lit(1), F.lit(9)).alias("replaced"), N.without_first(a, F.lit(3)).alias("removed"),
+    )
+
+
+@query("SELECT p_partkey AS id, sqrt(p_size * p_size + 16.0)::DOUBLE AS sx, 3.0::DOUBLE AS sy, p_size / 72.0::DOUBLE AS inches, p_size * 72.0::DOUBLE AS points, least(p_size, 25)::DOUBLE AS x, abs(25 - p_size)::DOUBLE AS w FROM part")
+def geometry_measures(spark, sf):
+    size = F.col("p_size")
+    m, r = N.matrix(size, 4, 0, 3, 1, 2), N.rectangle(size.cast("double"), F.lit(1.0), F.lit(25.0), F.lit(0.0))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), N.scale_x(m).alias("sx"), N.scale_y(m).alias("sy"), N.inches(size).alias("inches"), N.points(size).cast("double").alias("points"), r["x"].alias("x"), r["w"].alias("w"))
+
+
+@query("SELECT s_suppkey AS id, 1::INTEGER AS pages, 200.0::DOUBLE AS width, s_name AS text FROM supplier")
+def files_roundtrip(spark, sf):
+    """Documents written as files; pages come through the data source, texts through the scan of binary files."""
+
+    def draw(b: Builder, r: dict) -> None:
+        K.Canvas(b).text(10, 10, r["s_name"]).page((0, 0, 200, 100))
+
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    pdf.register(spark)
+    pdf.write_files(B.generate(dealt(spark, sf, "supplier", "s_suppkey", "s_name"), "s_suppkey", draw), folder)
+    number = F.regexp_extract("doc_id", r"([0-9]+)\.pdf$", 1).cast("bigint").alias("id")
+    pages = spark.read.format("pdf").load(folder).groupBy(number).agg(F.max("page_no").alias("pages"), F.max("width").alias("width"))
+    return pages.join(D.render_events(pdf.read_files(spark, folder)).select(number, "text"), "id")
+
+
+def _golden(area: str) -> None:
+    def read(spark, sf):
+        return golden.read(spark, area)
+
+    read.__name__ = f"golden_{area}"
+    query(golden.expected(area))(read)
+
+
+for _area in golden.AREAS:
+    _golden(_area)
 
 
 @query("SELECT p_partkey AS id, p_size * 7 AS width, p_size * 3 AS height, 3::INTEGER AS components FROM part")

@@ -31,9 +31,13 @@ class PdfSource(DataSource):
         return PdfReader(self.options["path"])
 
 
+#: Bytes of files to a partition; a larger file is one of its own.
+PARTITION_BYTES = 128 << 20
+
+
 class PdfPartition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class PdfReader(DataSourceReader):
@@ -45,19 +49,30 @@ class PdfReader(DataSourceReader):
 
         store, root = fs.FileSystem.from_uri(self.path)
         found = store.get_file_info(fs.FileSelector(root, recursive=True))
-        return [PdfPartition(f.path) for f in found if f.is_file and f.path.lower().endswith(".pdf")] or [PdfPartition("")]
+        packs: list[list[str]] = [[]]
+        size = 0
+        for f in sorted((f for f in found if f.is_file and f.path.lower().endswith(".pdf")), key=lambda f: f.path):
+            if packs[-1] and size + f.size > PARTITION_BYTES:
+                packs.append([])
+                size = 0
+            packs[-1].append(f.path)
+            size += f.size
+        return [PdfPartition(p) for p in packs]
 
     def read(self, partition: PdfPartition) -> Iterator[tuple]:
         from pyarrow import fs
 
-        if not partition.path:
-            return
         store, _ = fs.FileSystem.from_uri(self.path)
-        with store.open_input_file(partition.path) as f:
-            data = f.read()
-        for k, p in enumerate(Document(data).pages(), 1):
-            box = p.box("MediaBox") or (0.0, 0.0, 612.0, 792.0)
-            yield partition.path, k, p.rotation, float(box[2]), float(box[3]), len(data)
+        for path in partition.paths:
+            with store.open_input_file(path) as f:
+                data = f.read()
+            try:
+                pages = list(enumerate(Document(data).pages(), 1))
+            except (ValueError, TypeError, KeyError, IndexError):
+                continue  # no pages can be read; read_files() and pdf_docs() tell of such files
+            for k, p in pages:
+                box = p.box("MediaBox") or (0.0, 0.0, 612.0, 792.0)
+                yield path, k, p.rotation, float(box[2]), float(box[3]), len(data)
 
 
 def register(spark: SparkSession) -> None:
@@ -65,15 +80,25 @@ def register(spark: SparkSession) -> None:
 
 
 def write_files(df: DataFrame, folder: str) -> None:
-    """A file per row (doc_id, content) in a folder that all executors see; a rerun task writes the same files again."""
+    """A file per row (doc_id, content) in a folder that all executors see, named by the id (percent-encoded, so that no id names a sub-folder or a hidden file).
+
+    A file is written under another name and moved, so that a reader sees it whole; a rerun task writes the same files again.
+    """
 
     def run(rows) -> None:
+        from urllib.parse import quote
+        from uuid import uuid4
+
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         for r in rows:
-            with store.open_output_stream(f"{root}/{r.doc_id}.pdf") as out:
+            part = f"{root}/_{uuid4().hex}.part"
+            with store.open_output_stream(part, compression=None) as out:
                 out.write(bytes(r.content))
+            name = quote(str(r.doc_id), safe="")
+            name = name.replace(name[0], f"%{ord(name[0]):02X}", 1) if name[:1] in (".", "_") else name  # readers skip such files
+            store.move(part, f"{root}/{name}.pdf")
 
     df.select("doc_id", "content").foreachPartition(run)
