@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,11 +34,26 @@ LONG = 64
 CELLS, REMEMBERED = 1 << 18, 16 << 20
 
 
+def shipped(df: DataFrame, path: str) -> None:
+    """Sends the vocabulary's file to the executors of a cluster, which needn't have it at the driver's path."""
+    context = df.sparkSession.sparkContext
+    if not context.master.startswith("local"):
+        context.addFile(path)
+
+
+def _found(path: str) -> str:
+    if os.path.exists(path):
+        return path
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(os.path.basename(path))
+
+
 class Ranks:
     """The vocabulary: bytes to ranks, and a hash table from pairs of ids to the rank of their join."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
+        with open(_found(path), "rb") as lines:
             self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes = {k: v for v, k in self.ids.items()}
         self.single = np.full(256, -1, np.int64)
@@ -222,6 +238,7 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     New columns are underscored where those kept have such names. Repeated rows give a row each; no rows give none.
     check: name of one more column, whether the ids decode to the text's bytes again, told in the same pass.
     """
+    shipped(df, path)
     keep = list(df.columns) if keep is None else keep
     kept = df.select(*keep)
     [out] = free_name(kept, out)
@@ -245,6 +262,7 @@ def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
 def decoded(df: DataFrame, path: str, ids: str = "ids", out: str = "text_bytes") -> DataFrame:
     """df with the bytes that its token ids stand for (underscored where df has that name). Null ids give null; repeated rows give a row each."""
+    shipped(df, path)
     [out] = free_name(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,6 +286,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", t
 
     Null texts count as empty; repeated rows give a row each; no rows give none. Other columns are ignored.
     """
+    shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)

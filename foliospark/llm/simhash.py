@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import free_name, written
+from foliospark.llm.common import dropped, free_name, written
 from foliospark.llm.components import connected_components
 
 SEED = 42
@@ -392,7 +392,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         hidden = int(top)
     else:
         hidden = None
-    parts = connected_components(written(near_links(linkable, tau), "near"))
+    near = written(near_links(linkable, tau), "near")
+    parts = connected_components(near)
+    dropped(near)
     part = F.coalesce(F.col("component"), F.col("rep"))
     named = linkable.join(parts.hint("merge"), F.col("rep") == F.col("node"), "left").select("fp", (part if hidden is None else F.when(part <= hidden, part)).alias("component_id"))
     return fps.join(named.hint("merge"), "fp").select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
@@ -494,6 +496,11 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     other row is in it. Repeated rows give a row each; no rows give no rows. Other columns are ignored.
     Ids are numbers (ValueError otherwise).
     """
+    return _grouped_copies(df, doc_id, text, words, similarity, exact).select("doc_id", "component_id")
+
+
+def _grouped_copies(df: DataFrame, doc_id: str, text: str, words: int, similarity: float, exact: bool) -> DataFrame:
+    """doc_id, t (a hash of the text) and component_id of each row."""
     _numeric(df, doc_id)
     sketch = [f"s{k}" for k in range(SKETCH_WIDTH)]
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
@@ -504,11 +511,15 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     nodes = written(grouped.select(*sketch, "bands", "one", F.coalesce("rep", nameless).alias("rep")), "nodes")
     links = near_links(nodes, loose_bits(similarity) if exact else differing_bits(similarity), tuple(sketch), "bands")
     if exact:
-        links = exact_links(rows, nodes, connected_components(written(links, "loose")), words, similarity)
-    parts = connected_components(written(links, "near"))
+        loose = written(links, "loose")
+        links = exact_links(rows, nodes, connected_components(loose), words, similarity)
+        dropped(loose)
+    near = written(links, "near")
+    parts = connected_components(near)
+    dropped(near)
     part = F.coalesce(F.col("component"), F.col("rep"))
     named = nodes.join(parts.hint("merge"), F.col("rep") == F.col("node"), "left").select(*sketch, F.when(part <= top, part).alias("component_id"))
-    return marked.join(named.hint("merge"), sketch).select("doc_id", "component_id")
+    return marked.join(named.hint("merge"), sketch).select("doc_id", "t", "component_id")
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -516,10 +527,12 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words
 
     Of repeated rows with that id one stays, by the order of a hash of their text. Rows without an id are kept if their whole group has none.
     """
-    key, mark, keep = free_name(df, "key", "mark", "keep")
-    groups = near_copies(df, doc_id, text, words, similarity, exact=True)
-    chosen = groups.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = df.join(chosen.hint("merge"), F.col(doc_id).eqNullSafe(F.col(key)), "left_semi")
+    key, mark = free_name(df, "key", "mark")
+    groups = _grouped_copies(df, doc_id, text, words, similarity, exact=True)
+    # Rows without an id are told apart by their text.
+    chosen = groups.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias(key), F.when(F.col("doc_id").isNull(), F.col("t")).alias(mark)).distinct()
+    own = F.when(F.col(doc_id).isNull(), F.xxhash64(text))
+    kept = df.join(chosen.hint("merge"), F.col(doc_id).eqNullSafe(F.col(key)) & own.eqNullSafe(F.col(mark)), "left_semi")
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not repeated:
         return kept

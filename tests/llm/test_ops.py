@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on small fixtures with nulls, empty and long texts, ties, repeats and clashing names."""
 
+import base64
 import hashlib
 import math
 import random
@@ -200,6 +201,26 @@ def test_near_copies_are_exact(spark, monkeypatch):
     assert Counter(r.component_id for r in simhash.near_copies(nameless, exact=True).collect()) == Counter([*named, named[1]])
 
 
+def test_any_tau_and_integer_ids(spark):
+    fps = [0, 0b1111, (1 << 20) - 1, (1 << 64) - 1, (1 << 63) | 0b11]
+    nodes = spark.createDataFrame([(simhash.signed(f), k) for k, f in enumerate(fps)], "fp bigint, rep bigint")
+    for tau in (0, 4, 16, 20):
+        links = [(i, j) for i in range(5) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= tau]
+        parts = {r.node: r.component for r in simhash.connected_components(simhash.near_links(nodes, tau)).collect()}
+        assert [parts.get(k, k) for k in range(5)] == components(5, links)
+    for f in (simhash.near_duplicates, simhash.near_copies):
+        with pytest.raises(ValueError):
+            f(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_components_of_hot_centres(spark):
+    """Stars whose centre has nearly all links, as the least, the greatest and a middle node, and a long path."""
+    for centre in (0, 5000, 2500):
+        links = [(centre, k) for k in range(2001) if k != centre] + [(6000 + k, 6001 + k) for k in range(40)]
+        got = {r.node: r.component for r in simhash.connected_components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+        assert got == {k: 0 for k in [*range(2001), centre]} | {k: 6000 for k in range(6000, 6041)}
+
+
 def test_wide_fingerprint_is_a_majority():
     """Whatever the number of hashes, and however often one is repeated."""
     rng = np.random.default_rng(4)
@@ -535,6 +556,35 @@ def test_bpe_query(spark, sf):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_bpe_long_rows_of_any_vocabulary(tmp_path, seed):
+    """Rows beyond the bound for one merge a round come out as merged one by one, for vocabularies without an order in their merges."""
+    rng = random.Random(seed)
+    tokens = [bytes([k]) for k in range(256)]
+    for _ in range(400):
+        joined = rng.choice(tokens[97:100] + tokens[256:]) + rng.choice(tokens[97:100] + tokens[256:])
+        if len(joined) <= 12 and joined not in tokens:
+            tokens.append(joined)
+    rest = tokens[256:]
+    rng.shuffle(rest)
+    ranks = {t: k for k, t in enumerate(tokens[:256] + rest)}
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for t, k in ranks.items()))
+    texts = ["".join(rng.choices("abc", k=n)) for n in (1, 63, 64, 65, 200, 700)] + ["a" * 300, "ab" * 200]
+
+    def one_by_one(data):
+        parts = [bytes([c]) for c in data]
+        while True:
+            found = [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not found:
+                return [ranks[p] for p in parts]
+            _, k = min(found)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    got = bpe.Encoder(str(path), r"[\s\S]+").encode(texts)
+    assert [list(x) for x in got] == [one_by_one(t.encode()) for t in texts]
+
+
 # ---- 7 ----
 
 
