@@ -32,6 +32,8 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 #: Shortest token that the Markov models judge; they call it random above this ratio, in all and a character.
 MIN_RANDOM, LEAST_RATIO, LEAST_MEAN = 20, 25.0, 0.8
+#: A random stretch of an ordinary token ends where the summed ratio has fallen this far below its highest.
+DROP = 12.0
 
 # ---- training ----
 
@@ -107,8 +109,11 @@ def _empty() -> Column:
     return F.array().cast(_SPAN)
 
 
-def _spans(text: Column, pattern: str, kind: str, rank: int, keep=None, group: int | None = None) -> Column:
-    """Spans of the leftmost non-overlapping matches, in code points: the pieces between matches and the matches alternate."""
+def _spans(text: Column, pattern: str, kind: str, rank: int, keep=None, group: int | None = None, parts=None) -> Column:
+    """Spans of the leftmost non-overlapping matches, in code points: the pieces between matches and the matches alternate.
+
+    keep(match) says which of them count, parts(match) instead gives the stretches (from, to) of a match that do.
+    """
     p = F.lit(pattern)
 
     def placed(pieces: Column) -> Column:
@@ -122,9 +127,10 @@ def _spans(text: Column, pattern: str, kind: str, rank: int, keep=None, group: i
         def step(acc: Column, x: Column) -> Column:
             begin = acc["at"] + x["gap"]
             end = begin + x["len"]
-            span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
+            span = lambda a, b: F.struct(a.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), b.alias("end"))
+            found = F.transform(parts(x), lambda p: span(begin + p["from"], begin + p["to"])) if parts else F.array(span(begin, end))
             wanted = x["len"].isNotNull() & (keep(x) if keep else F.lit(True))
-            return F.struct(F.coalesce(end, begin).alias("at"), F.when(wanted, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+            return F.struct(F.coalesce(end, begin).alias("at"), F.when(wanted, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
         return F.aggregate(zipped, start, step, lambda acc: acc["out"])
 
@@ -142,21 +148,63 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def random_ratio(token: Column, table: Iterable[float]) -> Column:
+def _ratios(token: Column, table: Iterable[float]) -> Column:
+    """The log-likelihood ratio of each character of a token, given the one before."""
     size = len(ALPHABET)
     ratios = F.lit(list(table))
     places = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    return let(places, lambda p: F.aggregate(F.transform(p, lambda x, k: F.get(ratios, F.coalesce(F.get(p, k - 1), F.lit(0)) * size + x - 1)), F.lit(0.0), lambda a, x: a + x))
+    return let(places, lambda p: F.transform(p, lambda x, k: F.get(ratios, F.coalesce(F.get(p, k - 1), F.lit(0)) * size + x - 1)))
+
+
+def _total(ratios: Column) -> Column:
+    return F.aggregate(ratios, F.lit(0.0), lambda a, x: a + x)
+
+
+def random_ratio(token: Column, table: Iterable[float]) -> Column:
+    return _total(_ratios(token, table))
+
+
+_STRETCH = "array<struct<from:int,to:int>>"
+
+
+def _is_random(ratio: Column, length: Column) -> Column:
+    return (ratio >= LEAST_RATIO) & (ratio >= length * LEAST_MEAN)
+
+
+def _stretches(token: Column, ratios: Column) -> Column:
+    """(from, to) of the random stretches of a token that isn't random as a whole: from where the summed ratio rises above zero to its highest
+    before it falls by DROP or to zero again; widened to the separators around it, since its ends may look ordinary."""
+    fresh = lambda at, out: F.struct(at.alias("at"), at.alias("from"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), at.alias("to"), out.alias("out"))
+
+    def ended(acc: Column) -> Column:
+        span = F.struct(acc["from"].alias("from"), acc["to"].alias("to"))
+        return F.when(_is_random(acc["best"], acc["to"] - acc["from"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+
+    def step(acc: Column, ratio: Column) -> Column:
+        total, at = acc["sum"] + ratio, acc["at"] + 1
+        higher = total > acc["best"]
+        on = F.struct(at.alias("at"), acc["from"].alias("from"), total.alias("sum"), F.greatest(total, acc["best"]).alias("best"), F.when(higher, at).otherwise(acc["to"]).alias("to"), acc["out"].alias("out"))
+        return F.when((total <= 0) | (total <= acc["best"] - DROP), fresh(at, ended(acc))).otherwise(on)
+
+    def widened(s: Column) -> Column:
+        before = F.length(F.regexp_extract(F.substring(token, F.lit(1), s["from"]), "[A-Za-z0-9+]*$", 0))
+        after = F.length(F.regexp_extract(F.substring(token, s["to"] + 1, F.length(token)), "^[A-Za-z0-9+]*", 0))
+        return F.struct((s["from"] - before).alias("from"), (s["to"] + after).alias("to"))
+
+    found = F.aggregate(ratios, fresh(F.lit(0), F.array().cast(_STRETCH)), step, ended)
+    return F.array_distinct(F.filter(F.transform(found, widened), lambda s: s["to"] - s["from"] >= MIN_RANDOM))
 
 
 def random_spans(text: Column, table: Iterable[float] | None = None) -> Column:
-    """Spans of kind random: long tokens that the models hold for random strings."""
+    """Spans of kind random: long tokens that the models hold for random strings, and of other long tokens such stretches, as after a path or a name."""
     table = default_table() if table is None else table
 
-    def judged(x: Column) -> Column:
-        return let(random_ratio(x["value"], table), lambda r: (r >= LEAST_RATIO) & (r >= F.length(x["value"]) * LEAST_MEAN))
+    def parts(x: Column) -> Column:
+        token = x["value"]
+        whole = F.array(F.struct(F.lit(0).alias("from"), F.length(token).alias("to")))
+        return let(_ratios(token, table), lambda r: F.when(_is_random(_total(r), F.length(token)), whole).otherwise(_stretches(token, r)))
 
-    return _spans(text, rf"\b[A-Za-z0-9_][A-Za-z0-9+/_=-]{{{MIN_RANDOM - 1},}}+", "random", 3, keep=judged, group=0)
+    return _spans(text, rf"\b[A-Za-z0-9_][A-Za-z0-9+/_=-]{{{MIN_RANDOM - 1},}}+", "random", 3, group=0, parts=parts)
 
 
 def all_spans(base: Column, found: Column) -> Column:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -287,6 +288,50 @@ def plain_spans(text):
     return sorted(out)
 
 
+def stretches_of(token, ratios):
+    """The random stretches of an ordinary token, in plain Python."""
+    found, begin, total, best, to = [], 0, 0.0, 0.0, 0
+    for at, ratio in enumerate([*ratios, -math.inf], 1):
+        total += ratio
+        if total <= 0 or total <= best - secrets.DROP:
+            if best >= secrets.LEAST_RATIO and best >= (to - begin) * secrets.LEAST_MEAN:
+                a = begin - len(re.search("[A-Za-z0-9+]*$", token[:begin])[0])
+                b = to + len(re.match("[A-Za-z0-9+]*", token[to:])[0])
+                if b - a >= secrets.MIN_RANDOM and (a, b) not in found:
+                    found.append((a, b))
+            begin, total, best, to = at, 0.0, 0.0, at
+        elif total > best:
+            best, to = total, at
+    return found
+
+
+def test_random_stretches(spark):
+    """Random strings behind and between ordinary names are found with their own bounds, whatever surrounds them; ordinary tokens hold none."""
+    rng = random.Random(3)
+    letters = string.ascii_letters + string.digits
+    table, texts, planted = secrets.default_table(), [], []
+    for k in range(240):
+        pieces = ["".join(rng.choices(letters, k=rng.choice([24, 32, 40]))) for _ in range(1 + k % 2)]
+        token = rng.choice(["com/services/data/users/files/", "user-name-of-the-", "aws_key="]) + "/profile/picture/of/the/author/".join(pieces) + rng.choice(["", "/index"])
+        texts.append(f"\u6f22 {token} end")
+        planted.append([(m, m + len(p)) for p in pieces for m in [texts[-1].index(p)]])
+    ordinary = [t for t, label in secrets.labelled_samples(seed=77, n=600) if not label]
+    texts += ["=" * 30000, "a/" * 5000 + "Zq9" * 8] + ordinary
+    got = [[(s.start, s.end) for s in r.secret_spans if s.kind == "random"] for r in secrets.with_spans(documents(spark, texts)).orderBy("doc_id").collect()]
+    for text, spans in zip(texts, got):
+        want = []
+        for m in re.finditer(r"\b[A-Za-z0-9_][A-Za-z0-9+/_=-]{19,}", text, re.A):
+            ratios = [secrets.ratio_of(m[0][: k + 1], table) - secrets.ratio_of(m[0][:k], table) for k in range(len(m[0]))] if len(m[0]) < 400 else None
+            if ratios is not None:
+                whole = sum(ratios) >= secrets.LEAST_RATIO and sum(ratios) >= len(ratios) * secrets.LEAST_MEAN
+                want += [(m.start() + a, m.start() + b) for a, b in ([(0, len(ratios))] if whole else stretches_of(m[0], ratios))]
+        if all(len(m) < 400 for m in text.split()):
+            assert spans == sorted(want), text
+    covered = [any(a <= x and y <= b for a, b in spans) for spans, hidden in zip(got, planted) for x, y in hidden]
+    assert sum(covered) >= 0.9 * len(covered)
+    assert not any(got[-len(ordinary) :])
+
+
 def secret_texts():
     rng = random.Random(4)
     bits = ["password", "PassWd", "secret", "TOKEN", "api_key", "ApiKey", "AKIA", "=", ": ", " ", "'", '"', "abc", "0123456789abcdef", "ZZ99", "é", "漢", "\n", "deadbeef" * 4, ".", "token=secret: abcdefghijk"]
