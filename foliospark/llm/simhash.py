@@ -38,9 +38,9 @@ from foliospark.llm.common import dropped, free_name, written
 from foliospark.llm.components import connected_components
 
 SEED = 42
-#: Most fingerprints that one key brings together in one block, and most blocks of a key.
-BLOCK, MOST_BLOCKS = 4096, 64
-#: Most texts of a loose group in one block, where their sets of shingles are compared.
+#: Most fingerprints that one key brings together in one block, while that takes no more than MOST_BLOCKS blocks; blocks of more hold up to BLOCK_BYTES.
+BLOCK, MOST_BLOCKS, BLOCK_BYTES = 4096, 64, 32 << 20
+#: The same for the texts of a loose group, where their sets of shingles are compared.
 EXACT_BLOCK = 512
 #: Hot keys up to this number (16 bytes each) are broadcast; beyond it they are joined by shuffle.
 BROADCAST_KEYS = 20_000
@@ -336,18 +336,24 @@ def _verify(tau: int):
     return run
 
 
-def with_cells(rows: DataFrame, keys: list[str], by: list[str], block: int) -> DataFrame:
-    """rows with a cell each: 0, but a key of over `block` rows is dealt out as pairs of blocks, by a hash of `by`, so that any two of its rows meet in a cell."""
-    hot = written(rows.groupBy(*keys).count().where(F.col("count") > block).select(*keys, F.least(F.ceil(F.col("count") / block), F.lit(MOST_BLOCKS)).cast("int").alias("blocks")), "hotkeys")
+def with_cells(rows: DataFrame, keys: list[str], by: list[str], block: int, size: Column) -> DataFrame:
+    """rows with a cell each: 0, but a key of over `block` rows, or of more bytes (size: those of a row) than a block holds, is dealt out as pairs of blocks, by a hash of `by`, so that any two of its rows meet in a cell.
+
+    A row goes to each pair that its block is in, so a key has MOST_BLOCKS blocks at most, and more only where these would hold more than BLOCK_BYTES.
+    """
+    n, held = F.col("n_rows"), F.col("n_bytes")
+    needed = F.greatest(F.least(F.ceil(n / block), F.lit(MOST_BLOCKS)), F.ceil(held / BLOCK_BYTES)).cast("long")
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.sum(size.cast("long")).alias("n_bytes"))
+    hot = written(counts.where((n > block) | (n > 1) & (held > BLOCK_BYTES)).select(*keys, needed.alias("blocks")), "hotkeys")
     n_hot = hot.count()
     if not n_hot:
         return rows.withColumn("cell", F.lit(0))
     return (
         rows.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, keys, "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("own", F.pmod(F.xxhash64(*by), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .withColumn("cell", F.least("own", "other") * MOST_BLOCKS + F.greatest("own", "other"))
+        .withColumn("own", F.pmod(F.xxhash64(*by), F.col("blocks")))
+        .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        .withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
     )
 
 
@@ -362,7 +368,7 @@ def near_links(nodes: DataFrame, tau: int = 4, verified: tuple[str, ...] = ("fp"
         masks = plan_masks(nodes.select("fp"), nodes.count(), tau)
         keys = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(x))).alias("key")) for k, x in enumerate(masks)])
     probes = nodes.select(*verified, "rep", F.explode(keys).alias("x")).select("x.mask", "x.key", *verified, "rep")
-    probes = with_cells(probes, ["mask", "key"], list(verified), BLOCK)
+    probes = with_cells(probes, ["mask", "key"], list(verified), BLOCK, F.lit(8 * len(verified) + 8))
     dealt = probes.select("mask", "key", "cell", *verified, "rep").repartition("mask", "key", "cell").sortWithinPartitions("mask", "key", "cell")
     return dealt.mapInArrow(_verify(tau), "u bigint, v bigint")
 
@@ -481,7 +487,7 @@ def exact_links(rows: DataFrame, nodes: DataFrame, loose: DataFrame, words: int,
     members = nodes.join(loose.hint("merge"), F.col("rep") == F.col("node")).select(F.col("component").alias("group"), "rep", F.col("one.doc_id").alias("of"), F.col("one.t").alias("t"))
     # Only a text of each member moves on, and is hashed again where it is compared.
     texts = rows.join(members.hint("merge"), (rows["t"] == members["t"]) & rows["doc_id"].eqNullSafe(members["of"])).select("group", "rep", "text")
-    celled = with_cells(written(texts, "members"), ["group"], ["rep"], EXACT_BLOCK)
+    celled = with_cells(written(texts, "members"), ["group"], ["rep"], EXACT_BLOCK, F.coalesce(F.octet_length("text"), F.lit(0)))
     dealt = celled.select("group", "cell", "rep", "text").repartition("group", "cell").sortWithinPartitions("group", "cell")
     return dealt.mapInArrow(_compare(words, similarity), "u bigint, v bigint")
 

@@ -202,6 +202,27 @@ def test_near_copies_are_exact(spark, monkeypatch):
     assert Counter(r.component_id for r in simhash.near_copies(nameless, exact=True).collect()) == Counter([*named, named[1]])
 
 
+def test_blocks_hold_bounded_bytes(spark, monkeypatch):
+    """A group of more bytes than its blocks may hold is dealt out in more and smaller ones, and any two of its rows still meet."""
+    monkeypatch.setattr(simhash, "MOST_BLOCKS", 2)
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", 4000)
+    rows = spark.createDataFrame([(g, k, "x" * w) for g, n, w in ((1, 90, 400), (2, 40, 50), (3, 3, 3000), (4, 1, 9000), (5, 2, 10)) for k in range(n)], "g int, rep bigint, text string")
+    got = simhash.with_cells(rows, ["g"], ["rep"], 30, F.octet_length("text")).collect()
+    cells = {}
+    for r in got:
+        cells.setdefault((r.g, r.cell), set()).add(r.rep)
+    n_cells = Counter(g for g, _ in cells)
+    assert 30 <= n_cells[1] <= 45 and n_cells[2] == 3 and n_cells[4] == n_cells[5] == 1
+    for g, n in ((1, 90), (2, 40), (3, 3), (5, 2)):
+        met = {(a, b) for (h, _), reps in cells.items() if h == g for a in reps for b in reps}
+        assert len(met) == n * n
+    chain = words(400, 5, 3000).split()
+    texts = [" ".join(chain[3 * k : 3 * k + 200]) for k in range(40)]
+    want = components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8])
+    out = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, texts), exact=True).collect()}
+    assert [out[k] for k in range(len(texts))] == want
+
+
 def test_any_tau_and_integer_ids(spark):
     fps = [0, 0b1111, (1 << 20) - 1, (1 << 64) - 1, (1 << 63) | 0b11]
     nodes = spark.createDataFrame([(simhash.signed(f), k) for k, f in enumerate(fps)], "fp bigint, rep bigint")
