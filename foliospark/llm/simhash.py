@@ -14,9 +14,9 @@ found, never all pairs.
 
 Two ways to use it: near_duplicates() links 64-bit fingerprints of shingles at a few differing
 bits. near_copies() finds texts whose sets of shingles are similar (0.8, five words): at that
-similarity fingerprints of shingles differ in a sixth of their bits, too many to probe for. So
-texts meet that agree on a band of min-hashes of their sets of shingles, whatever was replaced, cut or
-appended; 1024-bit fingerprints of the sets of shingles leave loose groups, and within these the sets
+similarity fingerprints of shingles differ in a sixth of their bits, too many to probe 64 bits for.
+So fingerprints have 1024 bits, and texts meet that agree on one of many masked keys of theirs, whatever
+was replaced, cut or appended; differing bits leave loose groups, and within these the sets of shingles
 themselves are compared, so that a link is an exact similarity.
 """
 
@@ -48,9 +48,22 @@ BROADCAST_KEYS = 20_000
 KEY_COST = 40.0
 #: 64-bit words of the fingerprints that near_copies() verifies.
 SKETCH_WIDTH = 16
-#: Bands of min-hashes that near_copies() probes: at a similarity of 0.8 all bands differ for (1 - 0.8 ** 4) ** 20 = 3 pairs in 100,000, at more for fewer.
-BANDS, BAND_ROWS = 20, 4
-_MIN_HASH = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Of these, the words that a probe carries where the sets of shingles are compared afterwards.
+LOOSE_WIDTH = 4
+#: Keys of BAND_BITS bits of a wide fingerprint that near_copies() probes. Bits differ with p = 0.15 at a similarity of 0.8 and all keys differ for about 1 - 2 pairs in 10,000.
+#: Sets of at most FEW hashes, whose fingerprints differ in more bits (0.19 for 4 of 5), have twice as many keys.
+BANDS, BAND_BITS, FEW = 96, 14, 16
+
+
+def _masks() -> np.ndarray:
+    """2 * BANDS x BAND_BITS: places of bits. Permutations of all bits are cut into keys, so that none of a permutation shares a bit with another."""
+    rng, keys = np.random.default_rng(SEED), []
+    while len(keys) < 2 * BANDS:
+        keys += list(rng.permutation(64 * SKETCH_WIDTH)[: 64 * SKETCH_WIDTH // BAND_BITS * BAND_BITS].reshape(-1, BAND_BITS))
+    return np.array(keys[: 2 * BANDS])
+
+
+_BAND_PLACES = _masks()
 
 
 def shingle_hashes(text: str | None, words: int = 4) -> np.ndarray:
@@ -97,16 +110,10 @@ def wide_fingerprint(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(counts * 2 > len(distinct), bitorder="little").view("<i8")
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """BANDS signed keys; two sets of hashes agree on one with the probability similarity ** BAND_ROWS."""
-    distinct = np.unique(hashes)
-    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(distinct), 4096):
-        x = distinct[at : at + 4096, None] * _MIN_HASH
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        np.minimum(least, x.min(axis=0), out=least)
-    rows = least.astype("<u8").reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in rows], np.uint64).view(np.int64)
+def band_keys(wide: np.ndarray, n: int = FEW + 1) -> np.ndarray:
+    """BANDS keys (twice as many for few hashes, n) of a wide fingerprint, each some of its bits: two that differ in a share p of their bits agree on one with the probability (1 - p) ** BAND_BITS."""
+    bits = np.unpackbits(wide.astype("<i8").view(np.uint8), bitorder="little")
+    return bits[_BAND_PLACES[: BANDS if n > FEW else 2 * BANDS]] @ (1 << np.arange(BAND_BITS, dtype=np.int64))
 
 
 def differing_bits(similarity: float, width: int = SKETCH_WIDTH) -> int:
@@ -115,10 +122,10 @@ def differing_bits(similarity: float, width: int = SKETCH_WIDTH) -> int:
     return math.floor(64 * width * p + math.sqrt(64 * width * p * (1 - p)))
 
 
-def loose_bits(similarity: float) -> int:
+def loose_bits(similarity: float, width: int = LOOSE_WIDTH) -> int:
     """Bits within which pairs of that similarity stay, of sets of a few hashes too, whose fingerprints differ in up to a quarter more."""
     p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return math.floor(64 * SKETCH_WIDTH * p * 1.25 + 4 * math.sqrt(64 * SKETCH_WIDTH * p * (1 - p)))
+    return math.floor(64 * width * p * 1.25 + 4 * math.sqrt(64 * width * p * (1 - p)))
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", words: int = 4) -> DataFrame:
@@ -360,7 +367,7 @@ def with_cells(rows: DataFrame, keys: list[str], by: list[str], block: int, size
 def near_links(nodes: DataFrame, tau: int = 4, verified: tuple[str, ...] = ("fp",), bands: str | None = None) -> DataFrame:
     """(u, v): a spanning forest, task by task, of the links among distinct fingerprints; nodes: fp, rep (none null).
 
-    Rows meet that differ in at most tau bits of fp or, where a column of bands is named, agree on one of these; they link at no more than tau differing bits in all columns verified.
+    Rows meet that differ in at most tau bits of fp or, where a column of keys is named (bands), agree on one of these; they link at no more than tau differing bits in all columns verified.
     """
     if bands:
         keys = F.transform(bands, lambda x, k: F.struct(k.cast("int").alias("mask"), x.alias("key")))
@@ -407,16 +414,16 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
 
 def with_wide_fingerprints(df: DataFrame, text: str, words: int, sketch: list[str], bands: str) -> DataFrame:
-    """Adds the wide fingerprint of the set of shingles of a text, a column to a word, and the bands of its min-hashes."""
+    """Adds the wide fingerprint of the set of shingles of a text, a column to a word, and its keys."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def both(texts: pd.Series) -> pd.Series:
-        hashes = (shingle_hashes(t, words) for t in texts)
-        return pd.Series([np.concatenate((wide_fingerprint(h, len(sketch)), band_keys(h))) for h in hashes], dtype=object)
+        hashes = (np.unique(shingle_hashes(t, words)) for t in texts)
+        return pd.Series([np.concatenate((wide := wide_fingerprint(h, len(sketch)), band_keys(wide, len(h)))) for h in hashes], dtype=object)
 
     [work] = free_name(df, "work")
     out = df.withColumn(work, both(F.col(text)))
-    return out.select(*df.columns, *(F.get(work, F.lit(k)).alias(c) for k, c in enumerate(sketch)), F.slice(work, len(sketch) + 1, BANDS).alias(bands))
+    return out.select(*df.columns, *(F.get(work, F.lit(k)).alias(c) for k, c in enumerate(sketch)), F.slice(work, len(sketch) + 1, 2 * BANDS).alias(bands))
 
 
 def similar_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -496,7 +503,7 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     """One row per row of df: doc_id, component_id, the smallest doc_id reachable over links between similar texts.
 
     exact: texts link if their sets of shingles (64-bit hashes) have at least that Jaccard similarity; pairs
-    that agree on no band are missed, 3 in 100,000 of those at 0.8. Otherwise they link if their wide
+    whose wide fingerprints agree on no key are missed, 1 - 2 in 10,000 of those at 0.8. Otherwise they link if their wide
     fingerprints differ in at most differing_bits(similarity): the share of common shingles is
     estimated, with a standard deviation of 0.02. Null and empty texts are equal. Rows whose doc_id is null link too, but can't name a component: it is null if no
     other row is in it. Repeated rows give a row each; no rows give no rows. Other columns are ignored.
@@ -515,7 +522,7 @@ def _grouped_copies(df: DataFrame, doc_id: str, text: str, words: int, similarit
     grouped = marked.groupBy(*sketch).agg(F.min("doc_id").cast("bigint").alias("rep"), F.min("bands").alias("bands"), F.min(F.struct("doc_id", "t")).alias("one"))
     nameless = F.lit(top + 1) + F.shiftrightunsigned(F.xxhash64(*sketch), 2)
     nodes = written(grouped.select(*sketch, "bands", "one", F.coalesce("rep", nameless).alias("rep")), "nodes")
-    links = near_links(nodes, loose_bits(similarity) if exact else differing_bits(similarity), tuple(sketch), "bands")
+    links = near_links(nodes, loose_bits(similarity), tuple(sketch[:LOOSE_WIDTH]), "bands") if exact else near_links(nodes, differing_bits(similarity), tuple(sketch), "bands")
     if exact:
         loose = written(links, "loose")
         links = exact_links(rows, nodes, connected_components(loose), words, similarity)

@@ -181,6 +181,24 @@ def test_near_copies_cut_and_extended(spark):
     assert all(got[k] == k for k in range(2, 750, 5))
 
 
+def test_near_copies_meet_by_bits_of_their_fingerprints(spark):
+    """Every key is made of bits of the SimHash fingerprint alone, and pairs at a similarity of 0.8 agree on one."""
+    text = words(300, 3, 3000)
+    sketch = [f"s{k}" for k in range(simhash.SKETCH_WIDTH)]
+    row = simhash.with_wide_fingerprints(documents(spark, [text]), "text", 5, sketch, "bands").first()
+    bits = [int(row[c]) >> b & 1 for c in sketch for b in range(64)]
+    assert list(row["bands"]) == [sum(bits[place] << k for k, place in enumerate(key)) for key in simhash._BAND_PLACES[: simhash.BANDS]]
+    rng = np.random.default_rng(6)
+    for n in (5, 10, 50, 400):
+        missed = 0
+        for k in range(300):
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            b = a[: -(-4 * n // 5)] if k % 2 else np.concatenate([a[: n - n // 9], rng.integers(0, 2**63, n // 9).astype(np.uint64)])
+            x, y = (simhash.band_keys(simhash.wide_fingerprint(h, simhash.SKETCH_WIDTH), len(h)) for h in (a, b))
+            missed += not any(p == q for p, q in zip(x.tolist(), y.tolist()))
+        assert missed <= 1
+
+
 def test_near_copies_are_exact(spark, monkeypatch):
     """Pairs on both sides of 0.8, alone, in a chain of a group that is dealt out, and of few words: components are those of exact similarities."""
     monkeypatch.setattr(simhash, "EXACT_BLOCK", 16)
