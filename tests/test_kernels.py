@@ -5,7 +5,11 @@ import time
 import numpy as np
 import pytest
 
-from foliospark.kernels import qr
+from foliospark.kernels import document, qr
+from foliospark.kernels.canvas import Canvas
+from foliospark.kernels.document import Document
+from foliospark.kernels.syntax import Reader
+from foliospark.kernels.writer import Builder
 from foliospark.plans import golden
 
 
@@ -42,3 +46,38 @@ def test_symbols_are_written_and_read_in_time():
     wrong = [*symbol[:-1], symbol[-1][:-1] + "10"[int(symbol[-1][-1])]]
     with pytest.raises(ValueError, match="syndrome"):
         golden.read_qr(wrong, blocks)
+
+
+def one_page(text):
+    b = Builder()
+    Canvas(b).text(72, 700, text).page()
+    return b.save()
+
+
+def test_equal_objects_are_parsed_once_and_belong_to_their_document():
+    document._parsed.cache_clear()
+    a, b = Document(one_page("one")), Document(one_page("two"))
+    page = a.pages()[0].dict
+    page["MediaBox"].append("changed")
+    page["Resources"]["Font"].clear()
+    assert b.pages()[0].dict["MediaBox"] == [0, 0, 612, 792] and b.pages()[0].resources["Font"]
+    assert document._parsed.cache_info().hits >= 3
+    assert Document(one_page("three")).pages()[0].content() == Document(one_page("three")).pages()[0].content()
+
+
+@pytest.mark.parametrize(
+    "body", [b"<</A (endobj) /B (x stream y)>>", b"<</A 1 %endobj\n/B 2>>", b"[(a) (endobj", b"<</A [1 2", b"<</streamed /x>>", b"[1 0 R 2 0 Rx 3 +4 0 R]", b"<</A true/B null/C false>>"]
+)
+def test_objects_that_hold_what_ends_objects(body):
+    """Whatever is found by searching for an object's end, it is read as without a search."""
+    d = Document(b"%PDF-1.4\n1 0 obj\n" + body + b"\nendobj\n2 0 obj\n<</Type /Catalog>>\nendobj\ntrailer\n<</Root 2 0 R>>\n")
+    for _ in range(2):
+        assert repr(d._at(9, 1)) == repr(Reader(d.data, 17).object())
+
+
+def test_tables_of_any_rows():
+    good = one_page("x")
+    wide = good.replace(b" 00000 n \n", b" 00000  n\n")
+    for data in (good, wide, good.replace(b" n \n", b" n\r\n")):
+        d = Document(data)
+        assert not d.recovered and len(d.entries) == 5 and d.entries[1].offset == 15 and d.entries[0].kind == 0
