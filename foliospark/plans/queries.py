@@ -207,7 +207,7 @@ def reachable_objects(spark, sf):
         b.info(Creator="foliospark")
 
     rows = B.grouped(table(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber"], ["l_quantity"])
-    docs = B.generate(rows, "l_orderkey", draw)
+    docs = kept(spark, f"order lines {sf}", lambda: B.generate(rows, "l_orderkey", draw))  # read twice, made once
     reached = D.reachable(D.cos_edges(docs)).groupBy("doc_id").agg(F.count("*").alias("reached"))
     objects = D.cos_objects(docs).groupBy("doc_id").agg(F.count("*").alias("objects"))
     return reached.join(objects, "doc_id")

@@ -5,6 +5,8 @@ import time
 import numpy as np
 import pytest
 
+import __spark_entry__
+
 from foliospark.kernels import document, qr
 from foliospark.kernels.canvas import Canvas
 from foliospark.kernels.document import Document
@@ -81,3 +83,8 @@ def test_tables_of_any_rows():
     for data in (good, wide, good.replace(b" n \n", b" n\r\n")):
         d = Document(data)
         assert not d.recovered and len(d.entries) == 5 and d.entries[1].offset == 15 and d.entries[0].kind == 0
+
+
+def test_reachable_objects_makes_its_documents_once(spark, sf):
+    plan = __spark_entry__.queries()["reachable_objects"](spark, sf)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
