@@ -26,8 +26,9 @@ MATRIX = "struct<a:double,b:double,c:double,d:double,e:double,f:double>"
 
 
 def _open(content: bytes | None) -> Document | None:
+    """A document that is only read."""
     try:
-        return Document(content or b"")
+        return Document(content or b"", shared=True)
     except Exception:  # noqa: BLE001 - any damage becomes a row's parse_error
         return None
 
@@ -105,20 +106,34 @@ def to_json(x: Any) -> Any:
     return x
 
 
-def cos_objects(df: DataFrame) -> DataFrame:
-    """Every live object: its kind, its value as JSON (variant_get after parse_json), and of streams the bytes and filters."""
+def _chosen(types: dict[str, str], columns: list[str] | None) -> tuple[list[str], str]:
+    """The columns asked for, or all, and their schema: a kernel makes no others, and Catalyst can't tell it which are read."""
+    names = list(types) if columns is None else columns
+    return names, ", ".join(f"{n} {types[n]}" for n in names)
+
+
+OBJECTS = {"obj_num": "int", "kind": "string", "value_json": "string", "raw": "binary", "filters": "array<string>"}
+_kinds = {Stream: "stream", dict: "dict", list: "array", bool: "boolean", int: "number", float: "number", Name: "name", PdfString: "string", Ref: "reference"}
+_object_values = {
+    "obj_num": lambda d, num, x: num,
+    "kind": lambda d, num, x: _kinds.get(type(x), "other"),
+    "value_json": lambda d, num, x: json.dumps(to_json(x.dict if isinstance(x, Stream) else x)),
+    "raw": lambda d, num, x: x.raw if isinstance(x, Stream) else None,
+    "filters": lambda d, num, x: [n for n, _ in filters.chain(x.dict, d.get)] if isinstance(x, Stream) else None,
+}
+
+
+def cos_objects(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Every live object: its kind, its value as JSON (variant_get after parse_json), and of streams the bytes and filters; all columns, or those named."""
+    names, schema = _chosen(OBJECTS, columns)
+    take = [_object_values[n] for n in names]
 
     def rows(d: Document):
         for num in sorted(d.entries):
-            x = d.object(num)
-            if x is None:
-                continue
-            s = x if isinstance(x, Stream) else None
-            value = s.dict if s else x
-            kind = "stream" if s else {dict: "dict", list: "array", bool: "boolean", int: "number", float: "number", Name: "name", PdfString: "string", Ref: "reference"}.get(type(x), "other")
-            yield num, kind, json.dumps(to_json(value)), s.raw if s else None, [n for n, _ in filters.chain(s.dict, d.get)] if s else None
+            if (x := d.object(num)) is not None:
+                yield tuple([f(d, num, x) for f in take])
 
-    return _table(df, "obj_num int, kind string, value_json string, raw binary, filters array<string>", rows)
+    return _table(df, schema, rows)
 
 
 def structural_hashes(df: DataFrame) -> DataFrame:
@@ -216,36 +231,55 @@ def annotations(df: DataFrame) -> DataFrame:
     return _table(df, "page_no int, subtype string, contents string, title string, uri string", rows)
 
 
-def content_ops(df: DataFrame) -> DataFrame:
+OPS = {"page_no": "int", "seq": "int", "op": "string", "n_operands": "int", "depth": "int"}
+
+
+def content_ops(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Operators of every page, those of forms with their depth."""
+    names, schema = _chosen(OPS, columns)
+    at = [list(OPS).index(n) for n in names]
 
     def rows(d: Document):
+        decoders: dict = {}
         for k, p in enumerate(d.pages(), 1):
-            i = Interpreter(d, keep_ops=True)
+            i = Interpreter(d, keep_ops=True, decoders=decoders)
             i.page(p)
             for seq, (op, n, depth) in enumerate(i.ops):
-                yield k, seq, op, n, depth
+                whole = k, seq, op, n, depth
+                yield tuple([whole[c] for c in at])
+
+    return _table(df, schema, rows)
+
+
+EVENTS = {
+    "page_no": "int", "seq": "int", "depth": "int", "kind": "string", "text": "string", "font_size": "double", "render_mode": "int", "ctm": MATRIX, "tm": MATRIX, "img_w": "int", "img_h": "int", "paint_op": "int", "line_width": "double",
+    "subpaths": "array<struct<closed:boolean,pts:array<struct<x:double,y:double>>>>", "tags": "array<struct<role:string,props:string>>",
+}
+
 
-    return _table(df, "page_no int, seq int, op string, n_operands int, depth int", rows)
+def _subpaths(e: dict) -> list | None:
+    sub = e.get("subpaths")
+    return None if sub is None else [{"closed": c, "pts": [{"x": x, "y": y} for x, y in pts]} for c, pts in sub]
 
 
-EVENTS = f"page_no int, seq int, depth int, kind string, text string, font_size double, render_mode int, ctm {MATRIX}, tm {MATRIX}, img_w int, img_h int, paint_op int, line_width double, subpaths array<struct<closed:boolean,pts:array<struct<x:double,y:double>>>>, tags array<struct<role:string,props:string>>"
+#: Columns that aren't the event's value of their name.
+_event_values = {"ctm": lambda e: _matrix(e["ctm"]), "tm": lambda e: _matrix(e.get("tm")), "subpaths": _subpaths}
 
 
-def event_rows(d: Document, pages: list[Page]) -> Iterator[tuple]:
+def event_rows(d: Document, pages: list[Page], columns: list[str] | None = None) -> Iterator[tuple]:
+    names = list(EVENTS) if columns is None else columns
+    take = [(n, _event_values.get(n)) for n in names]
     decoders: dict = {}
     for k, p in enumerate(pages, 1):
         for e in Interpreter(d, decoders=decoders).page(p):
-            sub = e.get("subpaths")
-            yield (
-                k, e["seq"], e["depth"], e["kind"], e.get("text"), e.get("font_size"), e.get("render_mode"), _matrix(e["ctm"]), _matrix(e.get("tm")), e.get("img_w"), e.get("img_h"), e.get("paint_op"), e["line_width"],
-                None if sub is None else [{"closed": c, "pts": [{"x": x, "y": y} for x, y in pts]} for c, pts in sub], e["tags"],
-            )
+            e["page_no"] = k
+            yield tuple([f(e) if f else e.get(n) for n, f in take])
 
 
-def render_events(df: DataFrame) -> DataFrame:
-    """Text, image and path events of every page, in order."""
-    return _table(df, EVENTS, lambda d: event_rows(d, d.pages()))
+def render_events(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Text, image and path events of every page, in order; all columns, or those named."""
+    names, schema = _chosen(EVENTS, columns)
+    return _table(df, schema, lambda d: event_rows(d, d.pages(), names))
 
 
 def with_dpi(events: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ def spread(scan: DataFrame) -> DataFrame:
 def _output(schema: str):
     out_type = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(out_type)
+    wide = [k for k, f in enumerate(out_type) if isinstance(f.dataType, T.StringType | T.BinaryType)]
 
     def batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -39,7 +40,9 @@ def _output(schema: str):
 
         for row in rows:
             held.append(row)
-            size += sum(len(v) for v in row if isinstance(v, bytes | str))
+            for k in wide:
+                if (v := row[k]) is not None:
+                    size += len(v)
             if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
                 yield flush()
                 held, size = [], 0

@@ -6,6 +6,7 @@ import base64
 import itertools
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from foliospark.kernels import canvas as K
 from foliospark.kernels import barcode, filters, fonts, qr
 from foliospark.kernels.cmap import ToUnicode, to_unicode_bytes
 from foliospark.kernels.objects import Name, Stream
-from foliospark.kernels.writer import Builder
+from foliospark.kernels.writer import Builder, Template
 from foliospark.operators import build as B
 from foliospark.operators import documents as D
 from foliospark.operators.rows import kernel, spread
@@ -65,14 +66,21 @@ def line_documents(spark, sf) -> DataFrame:
     return kept(spark, f"lines {sf}", lambda: _line_documents(spark, sf))
 
 
+@lru_cache(maxsize=64)
+def _line_template(flag: str) -> Template:
+    """What line items of a flag have in common; left open are two texts and a rectangle."""
+    b = Builder()
+    layer = K.layer(b, flag)
+    c = K.Canvas(b)
+    text = lambda y: c.begin_text().font("Helvetica", 12).move_text(72, y).raw(K.MARK).end_text()
+    text(700).begin_layer(layer)
+    text(650).raw(K.MARK).fill().end_layer()
+    return Template(b, b.get(c.page())["Contents"], K.MARK)
+
+
 def _line_documents(spark, sf, where=None) -> DataFrame:
     def run(order, line, quantity, flag):
-        b = Builder()
-        layer = K.layer(b, flag)
-        c = K.Canvas(b)
-        c.text(72, 700, f"{order}/{line}").begin_layer(layer).text(72, 650, f"qty {quantity:g}").rectangle(10, 10, quantity, 5).fill().end_layer()
-        c.page()
-        yield order, line, b.save()
+        yield order, line, _line_template(flag).fill(K.shown(f"{order}/{line}"), K.shown(f"qty {quantity:g}"), K.operation("re", 10, 10, quantity, 5))
 
     rows = dealt(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
     return kernel(rows if where is None else rows.where(where), run, "l_orderkey bigint, l_linenumber int, content binary")
@@ -190,7 +198,7 @@ def objstm_equivalence(spark, sf):
 def form_nup(spark, sf):
     """Four pages to a sheet, each a form: texts are found within the forms."""
     docs = B.impose(B.merge(line_documents(spark, sf), "l_orderkey", "l_linenumber"), 2, 2)
-    e = D.render_events(docs).where("kind = 'text' and depth = 1")
+    e = D.render_events(docs, ["page_no", "depth", "kind"]).where("kind = 'text' and depth = 1")
     return e.groupBy("doc_id").agg(F.countDistinct("page_no").alias("sheets"), F.count("*").alias("texts"))
 
 
@@ -312,7 +320,7 @@ def invisible_text(spark, sf):
 )
 def op_histogram(spark, sf):
     docs = line_documents(spark, sf).select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("doc_id"), "content")
-    return D.content_ops(docs).groupBy("op").agg(F.count("*").alias("n"))
+    return D.content_ops(docs, ["op"]).groupBy("op").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_orderkey AS doc_id, sum(l_quantity)::DOUBLE AS e, sum(l_linenumber)::DOUBLE AS f FROM lineitem GROUP BY 1")
@@ -333,7 +341,7 @@ def ctm_fold(spark, sf):
 @query("SELECT l_returnflag AS flag, count(*)::BIGINT AS filled, sum(l_quantity)::DOUBLE AS width FROM lineitem GROUP BY 1")
 def path_paint_counts(spark, sf):
     docs = line_documents(spark, sf).select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("doc_id"), "content")
-    e = D.render_events(docs).where("kind = 'path' and paint_op = 2")
+    e = D.render_events(docs, ["kind", "paint_op", "subpaths", "tags"]).where("kind = 'path' and paint_op = 2")
     points = F.col("subpaths")[0]["pts"]
     return e.groupBy(F.col("tags")[0]["props"].alias("flag")).agg(F.count("*").alias("filled"), F.sum(points[1]["x"] - points[0]["x"]).alias("width"))
 
@@ -341,14 +349,14 @@ def path_paint_counts(spark, sf):
 @query("SELECT l_returnflag AS layer, count(*)::BIGINT AS texts FROM lineitem GROUP BY 1")
 def marked_content_text(spark, sf):
     docs = line_documents(spark, sf).select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("doc_id"), "content")
-    e = D.render_events(docs).where("kind = 'text' and size(tags) > 0")
+    e = D.render_events(docs, ["kind", "tags"]).where("kind = 'text' and size(tags) > 0")
     return e.groupBy(F.col("tags")[0]["props"].alias("layer")).agg(F.count("*").alias("texts"))
 
 
 @query("SELECT l_orderkey || '/' || l_linenumber AS doc_id, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 2 END)::BIGINT AS texts, 0::BIGINT AS marked FROM lineitem GROUP BY 1")
 def flatten_layers(spark, sf):
     docs = line_documents(spark, sf).select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("doc_id"), "content")
-    e = D.render_events(B.flatten_layers(docs, lambda layer: layer == "R"))
+    e = D.render_events(B.flatten_layers(docs, lambda layer: layer == "R"), ["kind", "tags"])
     return e.groupBy("doc_id").agg(F.count(F.when(F.col("kind") == "text", 1)).alias("texts"), F.count(F.when(F.size("tags") > 0, 1)).alias("marked"))
 
 
@@ -404,7 +412,7 @@ def dedup_streams(spark, sf):
 @query("SELECT l_orderkey AS doc_id, count(DISTINCT l_linenumber || ' ' || l_quantity)::BIGINT AS contents FROM lineitem GROUP BY 1")
 def merged_contents(spark, sf):
     docs = B.merge(line_documents(spark, sf), "l_orderkey", "l_linenumber")
-    o = D.cos_objects(docs).where("kind = 'stream'")
+    o = D.cos_objects(docs, ["kind", "raw"]).where("kind = 'stream'")
     return o.groupBy("doc_id").agg(F.countDistinct(N.content_hash(F.col("raw"))).alias("contents"))
 
 
