@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from foliospark.kernels import content as C
 from foliospark.kernels import importer
 from foliospark.kernels.canvas import Canvas
-from foliospark.kernels.document import Document
+from foliospark.kernels.document import Document, Page
 from foliospark.kernels.objects import Stream
-from foliospark.kernels.writer import Builder
+from foliospark.kernels.writer import Builder, Template
 from foliospark.operators.rows import group_kernel, kernel
 
 
@@ -75,17 +75,46 @@ def rewrite(df: DataFrame, change: Callable[[Builder, Document], None], object_s
     return kernel(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, content binary", ["doc_id", "content"])
 
 
+def _layers(d: Document, page: Page) -> dict[str, str]:
+    group = d.get(page.resources.get("Properties"))
+    names = {str(n): C.layer_name(d, d.get(x)) for n, x in group.items()} if isinstance(group, dict) else {}
+    return {n: x for n, x in names.items() if x is not None}
+
+
+def _flat_template(d: Document) -> tuple[Template, dict[str, str]] | None:
+    """The file around the content of a one-page document's only page and its layers' names, if its shape says both."""
+    s = d.shape
+    if s is None or s.pages is None or len(s.pages) != 1 or not s.pages[0][0]:
+        return None
+    if "flat" not in s.memo:
+        (page,) = d.pages()
+        b, names = Builder(d), _layers(d, page)
+        content = b.add(Stream({}, b""))
+        b.objects[page.num] = {**page.dict, "Contents": content}
+        made = Template(b, content)
+        s.memo["flat"] = None if s.hole in d.cache else (made, names)
+    return s.memo["flat"]
+
+
 def flatten_layers(df: DataFrame, hidden: Callable[[str], bool]) -> DataFrame:
-    """Documents whose pages lack the content of hidden layers."""
+    """Documents whose pages lack the content of hidden layers; an unreadable or encrypted one keeps its bytes."""
 
-    def change(b: Builder, d: Document) -> None:
-        for p in d.pages():
-            group = d.get(p.resources.get("Properties"))
-            names = {str(n): C.layer_name(d, d.get(x)) for n, x in group.items()} if isinstance(group, dict) else {}
-            flat = C.flatten_layers(p.content(), {n: x for n, x in names.items() if x is not None}, hidden)
-            b.objects[p.num] = {**p.dict, "Contents": b.add(Stream({}, flat))}
+    def run(k, data):
+        try:
+            d = Document(data, shared=True)
+            if known := _flat_template(d):
+                template, names = known
+                out = template.fill(C.flatten_layers(d.pages()[0].content(), names, hidden))
+            else:
+                b = Builder(d)
+                for p in d.pages():
+                    b.objects[p.num] = {**p.dict, "Contents": b.add(Stream({}, C.flatten_layers(p.content(), _layers(d, p), hidden)))}
+                out = b.save()
+            yield k, out
+        except (ValueError, TypeError, KeyError):
+            yield k, data
 
-    return rewrite(df, change)
+    return kernel(df, run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, content binary", ["doc_id", "content"])
 
 
 def set_boxes(df: DataFrame, key: str, box: tuple) -> DataFrame:
